@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import simhash
+from sparkfolio.llm import bpe_codec, simhash, token_counts
 from sparkfolio.llm.common import documents
 
 
@@ -14,9 +14,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer(bpe_codec.TOKENIZER))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer(token_counts.TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op9_bpe_codec": op9_bpe_codec,
+        "op10_token_counts": op10_token_counts,
     }
 
 
