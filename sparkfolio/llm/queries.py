@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.llm import bpe_codec, simhash, token_counts
+from sparkfolio.llm import bpe_codec, media, mixing, secret_scan, sharding, simhash, token_counts
 from sparkfolio.llm.common import documents
 
 
@@ -14,6 +14,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -32,10 +48,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_mixing": op2_mixing,
+        "op4_sharding": op4_sharding,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_media": op7_media,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.ORACLE_SQL}
