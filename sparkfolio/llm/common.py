@@ -15,7 +15,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs without the six ASCII white space characters.
@@ -69,5 +69,16 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def pinned(condition: Column) -> Column:
+    """The same condition, computed where it stands.
+
+    The optimizer puts a filter's definition in place of each column it names
+    and pushes it down, and again below that.  Where the definition rests on
+    chains of array functions it would grow beyond bounds and every part of it
+    would be computed many times; a part that is not deterministic stops that.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

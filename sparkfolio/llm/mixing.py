@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import WORD, col, fresh, written
+from sparkfolio.llm.common import WORD, col, pinned, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -160,7 +160,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     key, size = F.col("key"), F.col("size")
     more = _before(key, size) | (_at(key, size) & (2 * F.col("part") >= size))
-    copies = (F.col("epochs") + more.cast("int")).cast("int")
+    copies = F.when(pinned(F.lit(True)), (F.col("epochs") + more.cast("int")).cast("int"))
     taken = _with_cuts(held, "source", cut).select("row", copies.alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
