@@ -2,10 +2,11 @@
 
 Texts are split where they lie.  A *chunk* is what one task reads up to a
 bound; in it each distinct word has a number, and a text is the sequence of
-the numbers of its words by position.  Only (chunk, number, word) goes into a
-shuffle by word, where each distinct word of the corpus is encoded once; the
-ids return to their chunk and replace the numbers by position.  A word that
-occurs everywhere is thus one row for each chunk, not one for each occurrence.
+the numbers of its words by position.  Only a chunk's distinct words go into
+the shuffle by word, those of one part (a hash of the word) packed together;
+there each distinct word of the corpus is encoded once.  The ids return to
+their chunk and replace the numbers by position.  A word that occurs
+everywhere is thus sent once for each chunk, not once for each occurrence.
 Decoding joins ids with the table of token bytes, whose size is that of the
 vocabulary.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,8 +34,12 @@ from sparkfolio.llm.pretokenize import splitter
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: A chunk ends with the document that brings it to so many characters or distinct words.
 CHUNK_CHARS, CHUNK_WORDS = 32_000_000, 400_000
-#: Positions of one stored sequence, and words of one stored list.
-STREAM, LIST = 1 << 20, 1 << 16
+#: Positions of one stored sequence.
+STREAM = 1 << 20
+#: Parts by which words are dealt, for each shuffle partition; the least and most parts.
+PARTS, PART_RANGE = 4, (64, 1 << 16)
+#: No byte of UTF-8, so it can stand between words.
+_BETWEEN = b"\xff"
 
 
 @functools.lru_cache(maxsize=2)
@@ -67,152 +74,151 @@ def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, index: np.
     return flat[np.repeat(start[index] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
 
 
+#: Numbers below SHORT take a byte, below LONG three; each byte is stored with its like, which compresses best.
+SHORT, LONG = 192, 192 + 63 * (1 << 14)
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Numbers below 2**28, seven bits to a byte, then zstd."""
+    """Numbers below 2**32, small ones best."""
     v = values.astype(np.uint32)
-    size = 1 + (v > 0x7F).astype(np.int64) + (v > 0x3FFF) + (v > 0x1FFFFF)
-    stop = np.cumsum(size)
-    out = np.zeros(int(stop[-1]) if len(stop) else 0, dtype=np.uint8)
-    for k in range(4):
-        has = size > k
-        out[stop[has] - size[has] + k] = ((v[has] >> np.uint32(7 * k)) & np.uint32(0x7F)) | np.where(size[has] > k + 1, 0x80, 0).astype(np.uint32)
-    return zstandard.compress(out.tobytes(), 3)
+    middle = v[(v >= SHORT) & (v < LONG)] - np.uint32(SHORT)
+    first = np.where(v < SHORT, v, 255).astype(np.uint8)
+    first[(v >= SHORT) & (v < LONG)] = SHORT + (middle >> np.uint32(14))
+    planes = [first, middle & np.uint32(255), middle >> np.uint32(8) & np.uint32(63), v[v >= LONG]]
+    packed = [zstandard.compress((p if k == 3 else p.astype(np.uint8)).tobytes(), 3) for k, p in enumerate(planes)]
+    return np.array([len(p) for p in packed], dtype="<u4").tobytes() + b"".join(packed)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
-    last = np.flatnonzero(raw < 0x80)
-    start = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
-    out, size = (raw[start] & 0x7F).astype(np.int64), last - start + 1
-    for k in range(1, 4):
-        has = size > k
-        out[has] |= (raw[start[has] + k] & 0x7F).astype(np.int64) << (7 * k)
+    ends = (16 + np.cumsum(np.frombuffer(packed, dtype="<u4", count=4))).tolist()
+    first, low, high, large = (
+        np.frombuffer(zstandard.decompress(packed[a:b]), dtype=np.uint32 if k == 3 else np.uint8)
+        for k, (a, b) in enumerate(zip([16, *ends], ends))
+    )
+    out = first.astype(np.int64)
+    middle = (first >= SHORT) & (first < 255)
+    out[middle] = SHORT + (out[middle] - SHORT << 14) + (high.astype(np.int64) << 8) + low
+    out[first == 255] = large
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], split, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Sequences of word numbers and lists of words, by chunk."""
-    schema = pa.schema([("chunk", pa.int64()), ("first", pa.int32()), ("words", pa.binary()), ("ids", pa.list_(kind)), ("lens", pa.list_(pa.int32())), ("stream", pa.binary())])
+def _chunks(batches: Iterator[pa.RecordBatch], split, kind: pa.DataType, parts: int) -> Iterator[pa.RecordBatch]:
+    """By chunk: sequences of word numbers, the part of each number, and each part's words by number."""
+    schema = pa.schema([("chunk", pa.int64()), ("first", pa.int32()), ("part", pa.int32()), ("packed", pa.binary()), ("ids", pa.list_(kind)), ("lens", pa.list_(pa.int32()))])
     base, serial = TaskContext.get().partitionId() << 32, 0
 
     def row(**x):
         return pa.RecordBatch.from_arrays([pa.array([x.get(f.name)], f.type) for f in schema], schema=schema)
 
-    words = defaultdict()
-    words.default_factory = words.__len__
-    chars, ids, lens, seqs, held, place = 0, [], [], [], 0, 0
-
-    def stored():
-        nonlocal ids, lens, seqs, held, place
-        if ids:
-            yield row(chunk=base + serial, first=place, ids=ids, lens=lens, stream=_pack(np.concatenate(seqs)))
-        ids, lens, seqs, held, place = [], [], [], 0, place + 1
-
     def ended():
-        nonlocal words, chars, serial
-        yield from stored()
-        listed = list(words)
-        for k in range(0, len(listed), LIST):
-            raw = [w.encode() for w in listed[k : k + LIST]]
-            size = np.array([len(raw), *map(len, raw)], dtype=np.uint32).tobytes()
-            yield row(chunk=base + serial, first=k, words=zstandard.compress(size + b"".join(raw), 3))
+        """The chunk's rows; its words are numbered anew, the most frequent ones first."""
+        raw = [w.encode() for w in words]
+        every = np.concatenate(seqs)
+        order = np.argsort(-np.bincount(every, minlength=len(raw)), kind="stable")
+        number = np.empty(len(raw), dtype=np.uint32)
+        number[order] = np.arange(len(raw), dtype=np.uint32)
+        stops = np.cumsum([abs(n + (n < 0)) for n in lens]).tolist()
+        place = at = 0
+        for k, stop in enumerate(stops):
+            if stop - (stops[at - 1] if at else 0) >= STREAM or k - at >= 10_000 or k + 1 == len(stops):
+                part = every[stops[at - 1] if at else 0 : stop]
+                yield row(chunk=base + serial, first=place, ids=ids[at : k + 1], lens=lens[at : k + 1], packed=_pack(number[part]))
+                place, at = place + 1, k + 1
+        part = np.fromiter((zlib.crc32(raw[i]) % parts for i in order.tolist()), dtype=np.uint16, count=len(raw))
+        yield row(chunk=base + serial, first=_PARTS_ROW, packed=zstandard.compress(part.tobytes(), 3))
+        dealt = np.argsort(part, kind="stable")
+        for numbers in np.split(dealt, np.flatnonzero(np.diff(part[dealt])) + 1) if len(raw) else []:
+            yield row(chunk=base + serial, part=int(part[numbers[0]]), packed=zstandard.compress(_BETWEEN.join([raw[i] for i in order[numbers].tolist()]), 3))
+
+    def begun():
         words = defaultdict()
         words.default_factory = words.__len__
-        chars, serial = 0, serial + 1
+        return words, 0, [], [], []
 
+    words, chars, ids, lens, seqs = begun()
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1)):
             text = text.as_py() or ""
             pieces = split(text)
-            # A text longer than a stored sequence is continued; -1 marks all but its last part.
+            # A text longer than a stored sequence is continued; a length below zero marks all but its last part.
             for k in range(0, len(pieces) or 1, STREAM):
                 seq = np.fromiter(map(words.__getitem__, pieces[k : k + STREAM]), dtype=np.uint32)
                 ids.append(doc.as_py())
                 lens.append(len(seq) if k + STREAM >= len(pieces) else -1 - len(seq))
                 seqs.append(seq)
-                held += len(seq)
-                if held >= STREAM or len(ids) >= 10_000:
-                    yield from stored()
             chars += len(text)
             if chars >= CHUNK_CHARS or len(words) >= CHUNK_WORDS:
                 yield from ended()
-    if ids or words:
+                serial += 1
+                words, chars, ids, lens, seqs = begun()
+    if ids:
         yield from ended()
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk and distinct word."""
-    for batch in batches:
-        for chunk, first, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            raw = zstandard.decompress(packed)
-            n = int.from_bytes(raw[:4], "little")
-            size = np.frombuffer(raw, dtype=np.uint32, count=n, offset=4)
-            stop = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(stop.tobytes()), pa.py_buffer(raw[4 + 4 * n :])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(first, first + n, dtype=np.int32)), words], ["chunk", "word_no", "word"])
+#: Places of a chunk's rows before its sequences.
+_IDS_ROW, _PARTS_ROW = -2, -1
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Ids of words that come sorted: each distinct word is encoded once, its ids join every chunk that has it."""
-    single, last, ids = encoding(path)._encode_single_piece, None, []
+    """Ids of words that come sorted by part: each distinct word is encoded once and joins every chunk that has it."""
+    single, last = encoding(path)._encode_single_piece, None
+    known: dict[bytes, list[int]] = {}
     for batch in batches:
-        chunk = batch.column(0).to_numpy(zero_copy_only=False)
-        number = batch.column(1).to_numpy(zero_copy_only=False)
-        found = []
-        for word in batch.column(2).to_pylist():
-            if word != last:
-                last, ids = word, single(word)
-            found.append(ids)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(size.sum()))
-        start = np.cumsum(size) - size
-        order = np.argsort(chunk, kind="stable")
-        cut = np.flatnonzero(np.diff(chunk[order])) + 1
-        names, packs = [], []
-        for rows in np.split(order, cut):
-            if len(rows):
-                names.append(int(chunk[rows[0]]))
-                part = gathered(flat, start, size, rows)
-                packs.append(_pack(np.concatenate([[len(rows)], number[rows], size[rows], part])))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packs, pa.binary())], ["chunk", "packed"])
+        chunks, parts, packs = batch.column(0), batch.column(1).to_pylist(), []
+        for part, packed in zip(parts, batch.column(2)):
+            if part != last:
+                last, known = part, {}
+            found = []
+            for word in zstandard.decompress(packed.as_py()).split(_BETWEEN):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = single(word)
+                found.append(ids)
+            packs.append(_pack(np.array([len(found), *map(len, found), *itertools.chain.from_iterable(found)])))
+        yield pa.RecordBatch.from_arrays([chunks, batch.column(1), pa.array(packs, pa.binary())], ["chunk", "part", "packed"])
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Texts as ids, from rows sorted by chunk with the words' ids before the sequences."""
-    now, packs, table = None, [], None
+    """Texts as ids, from rows sorted by chunk: the parts' ids, the part of each number, the sequences."""
+    now, packs, table = None, {}, None
     held: list[np.ndarray] = []
 
-    def tabled():
-        parts = [_unpack(p) for p in packs]
-        n = [int(p[0]) for p in parts]
-        number = np.concatenate([p[1 : 1 + k] for p, k in zip(parts, n)])
-        size = np.concatenate([p[1 + k : 1 + 2 * k] for p, k in zip(parts, n)])
-        flat = np.concatenate([p[1 + 2 * k :] for p, k in zip(parts, n)]).astype(np.int32)
-        start, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        start[number], length[number] = np.cumsum(size) - size, size
-        return flat, start, length
+    def tabled(part: np.ndarray):
+        """All ids on end, and each number's start and length in them."""
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p in sorted(packs):
+            values = _unpack(packs[p])
+            n = int(values[0])
+            sizes.append(values[1 : 1 + n])
+            flats.append(values[1 + n :])
+        size, order = np.concatenate(sizes), np.argsort(part, kind="stable")
+        start, length = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        start[order], length[order] = np.cumsum(size) - size, size
+        return np.concatenate(flats).astype(np.int32), start, length
 
     for batch in batches:
-        chunks, packed, ids, lens, streams = (batch.column(k) for k in range(5))
-        for r, chunk in enumerate(chunks.to_pylist()):
+        chunks, first, part, packed, ids, lens = (batch.column(k) for k in range(6))
+        for r, (chunk, place) in enumerate(zip(chunks.to_pylist(), first.to_pylist())):
             if chunk != now:
-                now, packs, table = chunk, [], None
-            if packed[r].is_valid:
-                packs.append(packed[r].as_py())
+                now, packs, table = chunk, {}, None
+            if place == _IDS_ROW:
+                packs[part[r].as_py()] = packed[r].as_py()
+                continue
+            if place == _PARTS_ROW:
+                table = tabled(np.frombuffer(zstandard.decompress(packed[r].as_py()), dtype=np.uint16))
+                packs = {}
                 continue
-            if table is None:
-                table, packs = tabled() if packs else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)), []
-            seq = _unpack(streams[r].as_py())
+            seq = _unpack(packed[r].as_py())
             names, out, at = [], [], 0
             for name, n in zip(ids[r].as_py(), lens[r].as_py()):
                 m = n if n >= 0 else -1 - n
-                part = gathered(*table, seq[at : at + m])
+                found = gathered(*table, seq[at : at + m])
                 at += m
                 if n < 0:
-                    held.append(part)
+                    held.append(found)
                     continue
                 names.append(name)
-                out.append(np.concatenate([*held, part]) if held else part)
+                out.append(np.concatenate([*held, found]) if held else found)
                 held.clear()
             stop = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
@@ -249,21 +255,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     pattern = public_tokenizers.PATTERN
     kind, arrow = _arrow_type(docs, id_col)
     name = kind.simpleString()
-    parts = written(
+    per = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(per, PART_RANGE[0]), PART_RANGE[1])
+    chunks = written(
         docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(
-            lambda it: _chunks(it, splitter(pattern), arrow),
-            f"chunk long, first int, words binary, ids array<{name}>, lens array<int>, stream binary",
+            lambda it: _chunks(it, splitter(pattern), arrow, parts),
+            f"chunk long, first int, part int, packed binary, ids array<{name}>, lens array<int>",
         ),
         "chunks",
     )
-    listed = parts.where("words is not null").select("chunk", "first", "words").mapInArrow(_listed, "chunk long, word_no int, word binary")
-    words = listed.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it: _encoded(it, path), "chunk long, packed binary")
+    words = chunks.where("part is not null").select("chunk", "part", "packed").repartition("part").sortWithinPartitions("part")
+    encoded = words.mapInArrow(lambda it: _encoded(it, path), "chunk long, part int, packed binary")
     nothing = lambda t: F.lit(None).cast(t)
-    joined = words.select("chunk", F.lit(-1).alias("first"), "packed", nothing(f"array<{name}>").alias("ids"), nothing("array<int>").alias("lens"), nothing("binary").alias("stream")).unionAll(
-        parts.where("stream is not null").select("chunk", "first", nothing("binary").alias("packed"), "ids", "lens", "stream")
+    joined = encoded.select("chunk", F.lit(_IDS_ROW).alias("first"), "part", "packed", nothing(f"array<{name}>").alias("ids"), nothing("array<int>").alias("lens")).unionAll(
+        chunks.where("part is null").select("chunk", "first", "part", "packed", "ids", "lens")
     )
-    # By chunk; the rows with words' ids come before the sequences, which are in their order.
-    placed = joined.repartition("chunk").sortWithinPartitions("chunk", "first").drop("first")
+    placed = joined.repartition("chunk").sortWithinPartitions("chunk", "first")
     if decoded:
         return placed.mapInArrow(lambda it: _decoded(_assembled(it, arrow), path), f"id {name}, ids array<int>, decoded binary")
     return placed.mapInArrow(lambda it: _assembled(it, arrow), f"id {name}, ids array<int>")

@@ -51,22 +51,19 @@ def test_small_chunks_and_continued_texts(docs, monkeypatch):
         partitionId = staticmethod(lambda: 3)
 
     monkeypatch.setattr(bpe_codec.TaskContext, "get", staticmethod(lambda: Here))
-    for name, value in (("CHUNK_CHARS", 900), ("STREAM", 7), ("LIST", 5)):
+    for name, value in (("CHUNK_CHARS", 900), ("STREAM", 7)):
         monkeypatch.setattr(bpe_codec, name, value)
     rows = [(i, t) for i, t in enumerate(texts()) if len(t or "") < 3000]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["doc_id", "text"])
-    parts = list(bpe_codec._chunks(iter([batch.slice(0, 50), batch.slice(50)]), bpe_codec.splitter(P.PATTERN), pa.int64()))
-    listed = list(bpe_codec._listed(pa.RecordBatch.from_arrays([p.column(k) for k in range(3)], ["chunk", "first", "words"]) for p in parts if p.column("words")[0].is_valid))
-    words = pa.Table.from_batches(listed).sort_by([("word", "ascending"), ("chunk", "ascending")])
-    encoded = list(bpe_codec._encoded(iter(words.to_batches(max_chunksize=40)), MULTI))
-    sorted_rows = [(c, -1, p, None, None, None) for b in encoded for c, p in zip(*(x.to_pylist() for x in b.columns))]
-    for p in parts:
-        r = {k: v[0] for k, v in p.to_pydict().items()}
-        if r["stream"] is not None:
-            sorted_rows.append((r["chunk"], r["first"], None, r["ids"], r["lens"], r["stream"]))
+    chunks = pa.Table.from_batches(bpe_codec._chunks(iter([batch.slice(0, 50), batch.slice(50)]), bpe_codec.splitter(P.PATTERN), pa.int64(), 5)).to_pylist()
+    words = sorted((r for r in chunks if r["part"] is not None), key=lambda r: r["part"])
+    fed = pa.RecordBatch.from_arrays([pa.array([r[c] for r in words]) for c in ("chunk", "part", "packed")], ["chunk", "part", "packed"])
+    encoded = pa.Table.from_batches(bpe_codec._encoded(iter([fed.slice(0, 9), fed.slice(9)]), MULTI)).to_pylist()
+    sorted_rows = [(r["chunk"], -2, r["part"], r["packed"], None, None) for r in encoded]
+    sorted_rows += [tuple(r.values()) for r in chunks if r["part"] is None]
     sorted_rows.sort(key=lambda r: r[:2])
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-    fed = pa.RecordBatch.from_arrays([pa.array([r[k] for r in sorted_rows], t) for k, t in zip((0, 2, 3, 4, 5), types)], list("abcde"))
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    fed = pa.RecordBatch.from_arrays([pa.array([r[k] for r in sorted_rows], t) for k, t in enumerate(types)], list("abcdef"))
     out = list(bpe_codec._decoded(bpe_codec._assembled(iter([fed.slice(0, 11), fed.slice(11)]), pa.int64()), MULTI))
     got = {i: (ids, d) for b in out for i, ids, d in zip(*(x.to_pylist() for x in b.columns))}
     enc = bpe_codec.encoding(MULTI)
