@@ -101,7 +101,7 @@ def clause_chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("conv_id", "turn", whole.alias("whole"), F.forall("chunks", lambda c: F.length(c) <= 240).alias("bounded"))
 
 
-@query("""select doc_id, sha256(text) as fingerprint, length(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) as compact_chars,
+@query("""select doc_id, sha256(text) as fingerprint, length(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'))::int as compact_chars,
   len(regexp_extract_all(text, '[^\\s]+'))::int as words, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as collapsed from documents""")
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -133,7 +133,7 @@ def scalar_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""select doc_id, length(text) as chars, 1 + doc_id % 3 as repairs from documents""")
+@query("""select doc_id, length(text)::int as chars, 1 + doc_id % 3 as repairs from documents""")
 def confusion_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.concat(F.repeat(F.lit("00S "), (F.col("doc_id") % 3 + 1).cast("int")), F.lit("X00S "), "text")
     made = table(spark, sf_dir, "documents").select("doc_id", "text", bad.alias("bad"))

@@ -28,7 +28,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {PAGES_SQL}, f as (select *, text_chars > 0 as t, image_coverage >= 0.45 as i from pages),
-a as (select doc_id, count(*) as pages, count_if(t) as native_text_pages, count_if(i) as scan_pages, count_if(t and i) as searchable_scan_pages, round(avg(image_coverage), 4) as average_image_coverage from f group by doc_id),
+a as (select doc_id, count(*) as pages, count_if(t)::bigint as native_text_pages, count_if(i)::bigint as scan_pages, count_if(t and i)::bigint as searchable_scan_pages, round(avg(image_coverage), 4) as average_image_coverage from f group by doc_id),
 k as (select *, case when scan_pages > 0 and 2 * scan_pages >= pages and searchable_scan_pages = scan_pages then 'searchable_scan' when scan_pages > 0 and 2 * scan_pages >= pages then 'image_scan' when native_text_pages > 0 then 'born_digital' else 'unknown' end as kind from a)
 select *, case when kind = 'born_digital' then 'direct' else 'recognize' end as route from k""")
 def doc_profile_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def best_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {LINES_SQL}, p as (select doc_id, page_idx, sum(length(text)) as expected, sum(case when n % 5 <> doc_id % 5 then length(text) else 0 end) as matched, sum(length(text) * case when n % 3 = 0 then 2 else 1 end) as extracted from lines group by all)
-select doc_id, round(sum(matched) / sum(expected), 6) as coverage, round(sum(extracted) / sum(expected), 6) as duplication, count_if(matched / expected < 0.78) as thin_pages, count_if(extracted / expected > 1.25) as doubled_pages,
+select doc_id, round(sum(matched) / sum(expected), 6) as coverage, round(sum(extracted) / sum(expected), 6) as duplication, count_if(matched / expected < 0.78)::bigint as thin_pages, count_if(extracted / expected > 1.25)::bigint as doubled_pages,
   count_if(matched / expected < 0.78) = 0 and count_if(extracted / expected > 1.25) = 0 as passed from p where expected > 0 group by doc_id""")
 def layer_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
@@ -167,7 +167,7 @@ def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 f as (select doc_id, t, trim(t) = '' or regexp_matches(trim(t), '^\\d{1,4}[-/.]\\d{1,2}[-/.]\\d{1,4}$') or regexp_matches(trim(t), '^[<>=≤≥~±+-]?\\s*\\d[\\d,]*(\\.\\d+)?\\s*(%|‰|[°℃]?[A-Za-z]{1,4}(/[A-Za-z]{1,4})?)?$')
   or regexp_matches(trim(t), '^[A-Z]{2,8}$') or regexp_matches(trim(t), '^[A-Za-z0-9]*[-/.()][A-Za-z0-9\\-/.()]*$') or regexp_matches(trim(t), '^[A-Za-z0-9_]+\\s*=\\s*[A-Za-z0-9_+\\-*/^(). ]+$') as locked,
   regexp_matches(t, '[A-Za-z]') as wanted, len(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?')) as k from w)
-select doc_id, count(*) as units, count_if(wanted and not locked) as translated, count_if(not (wanted and not locked)) as preserved, (count_if(locked) + coalesce(sum(case when not locked then k end), 0))::bigint as protected from f group by doc_id""")
+select doc_id, count(*) as units, count_if(wanted and not locked)::bigint as translated, count_if(not (wanted and not locked))::bigint as preserved, (count_if(locked) + coalesce(sum(case when not locked then k end), 0))::bigint as protected from f group by doc_id""")
 def plan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("text"))
     return U.counters(words, ["doc_id"], "zh")
@@ -405,7 +405,7 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with t as (select conv_id, turn, length(text) as n from conversations)
-select conv_id, turn, round(n * 0.5 * 9, 4) as width, greatest(1, ceil(n * 0.5 * 9 / 300))::int as lines from t""")
+select conv_id, turn, round(n * 0.5 * 9, 4)::double as width, greatest(1, ceil(n * 0.5 * 9 / 300))::int as lines from t""")
 def text_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.round(Y.text_width(F.col("text"), 9.0), 4).alias("width"), Y.line_count(F.col("text"), 9.0, 300.0).alias("lines"))
