@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs without the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of narrow intermediate tables in one file.
+FILE_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,15 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage is cut by a committed table instead of by cached blocks, so the
     result outlives the executors that made it and is computed only once.
+    With ``rows``, how many there are about, the table gets no more files than
+    they need, whatever the number of partitions they were computed in.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

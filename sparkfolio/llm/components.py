@@ -23,20 +23,21 @@ def _round(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, rows: int = 0) -> DataFrame:
     """``(node, root)`` for each node of ``edges(a, b)`` but the roots themselves.
 
     Alternates large-star and small-star steps until the edges no longer
     change; that takes about the logarithm of the longest path in rounds. Each
-    round is a table in the shared folder.  Self-loops are ignored, repeated
+    round is a table in the shared folder.  ``rows`` is how many edges there
+    are about.  Self-loops are ignored, repeated
     edges count once and an empty table gives an empty one.
     """
     now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows
     )
     state = _state(now)
     while state[0]:
-        after = written(_round(now), "edges")
+        after = written(_round(now), "edges", state[0])
         drop_written(now)
         now, before, state = after, state, _state(after)
         if state == before:

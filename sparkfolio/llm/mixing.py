@@ -72,7 +72,7 @@ def cuts(narrow: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
     Rows before ``(cut_key, cut_size)`` are taken once more than ``epochs``
     times; each row at it adds ``part`` words.
     """
-    totals = written(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
+    totals = written(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources", 1)
     rows = totals.agg(F.sum("n")).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(1, rows / RANGE_ROWS))), RANGE_BITS[0]), RANGE_BITS[1])
     whole = F.round("target").cast("long")
@@ -82,6 +82,7 @@ def cuts(narrow: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
         .select("*", epochs.alias("epochs"))
         .select("*", (whole - F.col("epochs") * F.col("source_size")).alias("rest")),
         "targets",
+        1,
     )
     name = lambda df: df.withColumn("s", F.col("source")).drop("source")  # noqa: E731  for null-safe joins
     ranged = narrow.select("*", F.shiftright("key", KEY_BITS - bits).alias("range"))
@@ -92,7 +93,7 @@ def cuts(narrow: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
         "source", "range", "words", "rest", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("before")
     )
     at = at.where("before < rest and before + words >= rest")
-    edge = name(written(at.select("source", F.col("range").alias("r"), (F.col("rest") - F.col("before")).alias("left")), "ranges"))
+    edge = name(written(at.select("source", F.col("range").alias("r"), (F.col("rest") - F.col("before")).alias("left")), "ranges", 1))
     units = (
         ranged.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
         .groupBy("source", "key", "size", "left")
@@ -104,7 +105,7 @@ def cuts(narrow: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
         F.col("source").alias("s"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"),
         F.floor((F.col("left") - F.col("before")) / F.col("rows")).cast("long").alias("part"),
     )
-    return written(goal.drop("rest").join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
+    return written(goal.drop("rest").join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "cuts", 1)
 
 
 def _with_cuts(rows: DataFrame, source: str, cut: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest of them; what is still too small has no estimate, and nothing in it
     is rejected.
     """
-    n = written(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "pairs")
+    n = written(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "pairs", 1)
     small = n.count() <= BROADCAST_GROUPS
     own = F.col("n") >= MIN_GROUP
     of_lang = F.sum(F.when(~own, F.col("n"))).over(Window.partitionBy("lang"))
@@ -191,11 +191,11 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     gid = F.when(own, key(0, "lang", "source")).when(F.col("of_lang") >= MIN_GROUP, key(1, "lang")).otherwise(key(2))
     groups = n.select("*", of_lang.alias("of_lang")).select("lang", "source", gid.alias("gid"), "n")
     groups = groups.select("*", F.sum("n").over(Window.partitionBy("gid")).alias("all")).where(F.col("all") >= MIN_GROUP)
-    groups = written(groups.select("lang", "source", "gid"), "groups")
-    named = written(_grouped(rows, groups, small).select("gid", *[f"x{i}" for i in range(P)]), "vectors")
-    estimate = written(_start(named), "estimate")
+    groups = written(groups.select("lang", "source", "gid"), "groups", 1)
+    named = _grouped(rows, groups, small).select("gid", *[f"x{i}" for i in range(P)])
+    estimate = written(_start(named), "estimate", 1)
     for _ in range(STEPS):
-        estimate = written(_moments(_nearest(named, estimate, small)), "estimate")
+        estimate = written(_moments(_nearest(named, estimate, small)), "estimate", 1)
     return groups, estimate
 
 

@@ -208,10 +208,10 @@ def _block_pairs(hot: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint, key int, block int").select("a", "b")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``(a, b)`` links that connect what all links among the distinct ``fps(fp)`` connect."""
+def links(fps: DataFrame, rows: int = 0) -> DataFrame:
+    """``(a, b)`` links that connect what all links among the distinct ``fps(fp)`` connect; ``rows``: about how many there are."""
     index = variants(fps).repartition("key").sortWithinPartitions("key")
-    found = written(index.mapInArrow(_candidates, "a bigint, b bigint, key int, block int"), "links")
+    found = written(index.mapInArrow(_candidates, "a bigint, b bigint, key int, block int"), "links", rows)
     plain = found.where("key is null").select("a", "b")
     hot = found.where("key is not null")
     return plain if hot.isEmpty() else plain.unionAll(_block_pairs(hot))
@@ -222,17 +222,20 @@ def classes(fingerprints: DataFrame) -> DataFrame:
 
     ``root`` names the class, ``first_id`` is the smallest id in it.
     """
-    groups = written(fingerprints.groupBy("fp").agg(F.min("id").alias("own_id")), "fps")
-    star = stars(links(groups.select("fp")))
+    groups = written(fingerprints.groupBy("fp").agg(F.min("id").alias("own_id")), "fps", fingerprints.count())
+    rows = groups.count()
+    star = stars(links(groups.select("fp"), rows), rows)
     member = star.select(F.col("node").alias("fp"), "root").unionAll(
         star.select(F.col("root").alias("fp"), "root").distinct()
     )
     linked = groups.join(member, "fp")
     least = linked.groupBy("root").agg(F.min("own_id").alias("reached"))
     reach = linked.join(least, "root").select("fp", "root", "reached")
-    return groups.join(reach, "fp", "left").select(
+    named = groups.join(reach, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("reached", "own_id").alias("first_id")
     )
+    # As a table of its own, so that joining it to documents is a plain join, whose skewed keys Spark can split.
+    return written(named, "classes", rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
