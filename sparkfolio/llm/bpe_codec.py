@@ -111,12 +111,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], split, kind: pa.DataType, parts:
         return pa.RecordBatch.from_arrays([pa.array([x.get(f.name)], f.type) for f in schema], schema=schema)
 
     def ended():
-        """The chunk's rows; its words are numbered anew, the most frequent ones first."""
+        """The chunk's rows; its words are numbered anew, the most frequent ones first.
+
+        A word that comes only once needs no number: it is 0, and the k-th 0 is
+        the k-th such word.
+        """
         raw = [w.encode() for w in words]
         every = np.concatenate(seqs)
-        order = np.argsort(-np.bincount(every, minlength=len(raw)), kind="stable")
-        number = np.empty(len(raw), dtype=np.uint32)
-        number[order] = np.arange(len(raw), dtype=np.uint32)
+        times = np.bincount(every, minlength=len(raw))
+        order, repeated = np.argsort(-times, kind="stable"), int((times > 1).sum())
+        number = np.zeros(len(raw), dtype=np.uint32)
+        number[order[:repeated]] = np.arange(1, repeated + 1, dtype=np.uint32)
         stops = np.cumsum([abs(n + (n < 0)) for n in lens]).tolist()
         place = at = 0
         for k, stop in enumerate(stops):
@@ -125,7 +130,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], split, kind: pa.DataType, parts:
                 yield row(chunk=base + serial, first=place, ids=ids[at : k + 1], lens=lens[at : k + 1], packed=_pack(number[part]))
                 place, at = place + 1, k + 1
         part = np.fromiter((zlib.crc32(raw[i]) % parts for i in order.tolist()), dtype=np.uint16, count=len(raw))
-        yield row(chunk=base + serial, first=_PARTS_ROW, packed=zstandard.compress(part.tobytes(), 3))
+        yield row(chunk=base + serial, first=_PARTS_ROW, lens=[repeated], packed=zstandard.compress(part.tobytes(), 3))
         dealt = np.argsort(part, kind="stable")
         for numbers in np.split(dealt, np.flatnonzero(np.diff(part[dealt])) + 1) if len(raw) else []:
             yield row(chunk=base + serial, part=int(part[numbers[0]]), packed=zstandard.compress(_BETWEEN.join([raw[i] for i in order[numbers].tolist()]), 3))
@@ -180,7 +185,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def _assembled(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Texts as ids, from rows sorted by chunk: the parts' ids, the part of each number, the sequences."""
-    now, packs, table = None, {}, None
+    now, packs, table, single = None, {}, None, 0  # single: the next word that comes once
     held: list[np.ndarray] = []
 
     def tabled(part: np.ndarray):
@@ -206,9 +211,12 @@ def _assembled(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator
                 continue
             if place == _PARTS_ROW:
                 table = tabled(np.frombuffer(zstandard.decompress(packed[r].as_py()), dtype=np.uint16))
-                packs = {}
+                packs, single = {}, lens[r][0].as_py()
                 continue
-            seq = _unpack(packed[r].as_py())
+            seq = _unpack(packed[r].as_py()) - 1
+            once = np.flatnonzero(seq < 0)
+            seq[once] = single + np.arange(len(once))
+            single += len(once)
             names, out, at = [], [], 0
             for name, n in zip(ids[r].as_py(), lens[r].as_py()):
                 m = n if n >= 0 else -1 - n
