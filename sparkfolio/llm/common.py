@@ -24,12 +24,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILE_ROWS = 200_000
 
 
+#: Folders of applications that have none configured, as in tests on one machine.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one is set only where none is configured."""
+    """The shared checkpoint folder; a local one is made only where none is configured."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="sparkfolio-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="sparkfolio-checkpoint-")
+        at = _OWN[app]
     return at.rstrip("/")
 
 

@@ -229,7 +229,8 @@ def classes(fingerprints: DataFrame) -> DataFrame:
         star.select(F.col("root").alias("fp"), "root").distinct()
     )
     linked = groups.join(member, "fp")
-    least = linked.groupBy("root").agg(F.min("own_id").alias("reached"))
+    # A table of its own: the join by root is then a plain one too.
+    least = written(linked.groupBy("root").agg(F.min("own_id").alias("reached")), "reached", rows)
     reach = linked.join(least, "root").select("fp", "root", "reached")
     named = groups.join(reach, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("reached", "own_id").alias("first_id")
