@@ -34,19 +34,23 @@ def requirements(units: DataFrame, terms: DataFrame, source: str = "text") -> Da
     """``unit_id, term_id, required_target`` of the terms that a unit has, from the beginning of a word on."""
     first = lambda c: F.get(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 0)
     t = terms.select("term_id", "required_target", F.col("language").alias("t_language"), folded(F.col("source_term")).alias("term"), first(F.col("source_term")).alias("head"))
-    t = t.where("head is not null")
+    # What is compared is made once for each term and unit, not for each pair of them.
+    plain = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]", " "))
+    t = t.where("head is not null").select("*", plain(F.col("term")).alias("at"))
     u = units.select("unit_id", "language", folded(F.col(source)).alias("said"))
+    u = u.select("*", plain(F.col("said")).alias("bounded"))
     words = F.array_distinct(F.regexp_extract_all("said", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     one = ~F.col("term").rlike(r"[^\p{L}\p{N}]")
     # Terms of one word may be the beginning of a word: their heads are joined by prefixes of their length.
     lengths = t.where(one).select(F.length("head").alias("n")).distinct().agg(F.collect_set("n")).first()[0]
     u = u.select("*", words.alias("words"))
     heads = F.flatten(F.transform("words", lambda w: F.array(w, *[F.substring(w, 1, n) for n in sorted(lengths)])))
-    keyed = u.select("unit_id", "language", "said", F.explode(F.array_distinct(heads)).alias("head"))
-    both = keyed.join(t, "head").where(language_matches(F.col("t_language"), F.col("language")))
-    bounded = F.concat(F.lit(" "), F.regexp_replace("said", r"[^\p{L}\p{N}]", " "))
-    at = F.concat(F.lit(" "), F.regexp_replace("term", r"[^\p{L}\p{N}]", " "))
-    return both.where(bounded.contains(at) & F.col("said").contains(F.col("term"))).select("unit_id", "term_id", "required_target").distinct()
+    # Only ids and heads are multiplied; texts meet the few terms that share a head with them.
+    keyed = u.select("unit_id", "language", F.explode(F.array_distinct(heads)).alias("head"))
+    near = keyed.join(t, "head").where(language_matches(F.col("t_language"), F.col("language")))
+    both = near.select("unit_id", "term_id", "required_target", "term", "at").distinct().join(u.select("unit_id", "said", "bounded"), "unit_id")
+    found = F.col("bounded").contains(F.col("at")) & F.col("said").contains(F.col("term"))
+    return both.where(found).select("unit_id", "term_id", "required_target").distinct()
 
 
 def missing(units: DataFrame, required: DataFrame, target: str) -> DataFrame:
