@@ -11,7 +11,7 @@ place and joined by searching intervals, so no pairs are listed.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,24 +68,23 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         return []
     breaks = [m.start() for m in _PARAGRAPH.finditer(text)]
 
-    def joined(candidates, parts):
-        """Candidates with a part in reach; intervals of one kind don't overlap, so two neighbours decide."""
-        parts = sorted(parts)
-        starts, found = [p[0] for p in parts], []
+    def joined(candidates, *kinds):
+        """Candidates with a part in reach; intervals of one kind don't overlap, so its nearest before and after decide."""
+        found = []
+        sides = [(parts, [p[0] for p in parts], [p[2] for p in parts]) for parts in kinds if parts]
         for start, kind, end in candidates:
-            i = bisect_left(starts, start)
-            for s, _, e in parts[max(0, i - 2) : i + 2]:
-                gap = max(s - end, start - e)
-                inside = s < end and start < e
-                if not inside and gap <= REACH and bisect_left(breaks, min(s, start)) == bisect_left(breaks, max(s, start)):
+            for parts, starts, ends in sides:
+                i, j = bisect_right(ends, start), bisect_left(starts, end)
+                near = [*parts[i - 1 : i], *parts[j : j + 1]] if i else parts[j : j + 1]
+                if any(max(s - end, start - e) <= REACH and bisect_left(breaks, s) == bisect_left(breaks, start) for s, _, e in near):
                     found.append((start, kind, end))
                     break
         return found
 
     access = [p for p in base if p[1] == 1]
     assign = [p for p in base if p[1] == 0]
-    strong = joined(secrets, [*access, *endpoints])
-    return sorted({*strong, *joined(endpoints, [*access, *assign, *strong])})
+    strong = joined(secrets, access, endpoints)
+    return sorted({*strong, *joined(endpoints, access, assign, strong)})
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
