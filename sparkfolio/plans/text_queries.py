@@ -170,15 +170,20 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return lines.select((F.col("doc_id") * 1000 + F.col("n")).alias("unit_id"), "text", F.lit("zh-CN").alias("language"))
+    return lines.select(F.struct("doc_id", "n").alias("unit_id"), "text", F.lit("zh-CN").alias("language"))
+
+
+def _numbered(units: DataFrame, most: int = 1000) -> DataFrame:
+    """Units by number: document and place are the key till then, since the numbers of long texts run into the next document's."""
+    return units.withColumn("unit_id", F.col("unit_id.doc_id") * most + F.col("unit_id.n"))
 
 
 @query(f"""with {TERMS_SQL}, exact as (select doc_id * 100000 + n as unit_id, w as text from (select doc_id, unnest(range(len(a)))::int as n, unnest(a) as w from (select doc_id, string_split(text, ' ') as a from documents)))
 select unit_id, min(term_id) as term_id, arg_min(required_target, term_id) as required_target from exact join folded on lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = k group by unit_id""")
 def term_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("n", "text"))
-    units = words.select((F.col("doc_id") * 100000 + F.col("n")).alias("unit_id"), "text", F.lit("zh").alias("language"))
-    return M.exact_targets(units, _terms(spark, sf_dir))
+    units = words.select(F.struct("doc_id", "n").alias("unit_id"), "text", F.lit("zh").alias("language"))
+    return _numbered(M.exact_targets(units, _terms(spark, sf_dir)), 100000)
 
 
 PATTERN_SQL = f"""{TERMS_SQL}, spoken as (select unit_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as s from units),
@@ -191,18 +196,19 @@ required as (
 
 @query(f"with {PATTERN_SQL} select * from required")
 def term_pattern_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.requirements(_units(spark, sf_dir), _terms(spark, sf_dir))
+    return _numbered(M.requirements(_units(spark, sf_dir), _terms(spark, sf_dir)))
 
 
 @query(f"with {PATTERN_SQL} select r.* from required r where not (unit_id % 2 = 0 and term_id % 3 = 0)")
 def missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _units(spark, sf_dir)
     required = M.requirements(units, _terms(spark, sf_dir))
-    kept = F.when((F.col("unit_id") % 2 == 0) & (F.col("term_id") % 3 == 0), F.concat("required_target", F.lit(".")))
+    even = (F.col("unit_id.doc_id") * 1000 + F.col("unit_id.n")) % 2 == 0
+    kept = F.when(even & (F.col("term_id") % 3 == 0), F.concat("required_target", F.lit(".")))
     said = required.groupBy("unit_id").agg(F.array_join(F.collect_set(kept), " ").alias("said"))
     named = required.withColumn("required_target", F.concat("required_target", F.lit(".")))
     lacking = M.missing(said, named, "said")
-    return lacking.withColumn("required_target", F.regexp_replace("required_target", r"\.$", ""))
+    return _numbered(lacking.withColumn("required_target", F.regexp_replace("required_target", r"\.$", "")))
 
 
 @query("""with p as (select conv_id, turn, text as source, lead(text) over (partition by conv_id order by turn) as translated, case when turn % 2 = 0 then 'zh' else 'en' end as target from conversations),

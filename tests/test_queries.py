@@ -43,6 +43,23 @@ def test_same_rows(spark, duck, name):
         raise AssertionError(f"{len(a)} and {len(b)} rows; first apart: {next(((x, y) for x, y in zip(a, b) if x != y), None)}"[:800])
 
 
+def test_units_of_long_documents_stay_apart(spark, tmp_path):
+    """Line 1,000 and word 100,000 have the numbers of the next document's first ones."""
+    texts = [(1, "\n" * 1000 + "gamma"), (2, "gamma"), (3, " " * 100000 + "gamma delta"), (4, "alpha gamma")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, "gamma x"), (4, "alpha x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: sorted((r.unit_id, r.term_id) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("term_pattern_join", "missing_terms"):
+        theirs = con.execute(f"select unit_id, term_id from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+        assert run(name) == sorted(theirs), name
+    assert [x for x in run("term_pattern_join") if x[0] == 2000] == [(2000, 2), (2000, 2)]
+    # Word 100,000 of document 3 is gamma, word 0 of document 4 is alpha.
+    assert [x for x in run("term_exact_join") if x[0] == 400000] == [(400000, 2), (400000, 4)]
+
+
 @pytest.mark.parametrize("name", sorted(set(__spark_entry__.QUERIES) - set(__spark_entry__.SQL)))
 def test_runs_and_does_not_depend_on_partitions(spark, name):
     query = __spark_entry__.queries()[name]
