@@ -134,16 +134,19 @@ def _within(clause: str, slots: int, chars: int) -> list[str]:
     return [*out, held] if held else out
 
 
-def similarity(a: str | None, b: str | None, most: int = T.similarity_chars) -> float | None:
-    """Ratio of matching characters of two texts' first ``most`` characters."""
+def similarity(a: str | None, b: str | None, most: int | None = None) -> float | None:
+    """Ratio of matching characters of two texts, or of their first ``most`` characters."""
     if a is None or b is None:
         return None
     return 1.0 if a[:most] == b[:most] else difflib.SequenceMatcher(None, a[:most], b[:most], autojunk=False).ratio()
 
 
-def matched_length(a: str | None, b: str | None, most: int = T.similarity_chars) -> int:
-    blocks = difflib.SequenceMatcher(None, (a or "")[:most], (b or "")[:most], autojunk=False).get_matching_blocks()
-    return sum(m.size for m in blocks)
+def matched_length(a: str | None, b: str | None, most: int | None = None) -> int:
+    """Number of matching characters of two texts, or of their first ``most`` characters."""
+    a, b = (a or "")[:most], (b or "")[:most]
+    if a == b:
+        return len(a)
+    return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 
 
 _MASKED = ST.StructType([ST.StructField("masked", ST.StringType()), ST.StructField("literals", ST.ArrayType(ST.StringType()))])

@@ -59,6 +59,15 @@ def test_chunks_make_up_the_text_and_keep_bounds(text):
     assert all(len(c) <= 50 and c.count("[[") <= 3 for c in out)
 
 
+def test_similarity_reads_whole_texts():
+    """Runs of their own letters keep the match of texts this long fast."""
+    start = "".join(chr(0x4E00 + i) for i in range(20_000))
+    a, b = start + "abcd", start + "axyz"
+    assert L.matched_length(a, b) == 20_001 and L.matched_length(a, a) == 20_004
+    assert L.similarity(a, b) == 2 * 20_001 / (2 * 20_004)
+    assert L.similarity(a, b, 20_000) == 1.0 and L.matched_length(a, b, 20_000) == 20_000
+
+
 def test_similarity():
     assert L.similarity("abc", "abc") == 1.0 and L.similarity("abcd", "bcde") == 0.75 and L.similarity(None, "x") is None
     assert L.matched_length("hello world", "hello there") == 7
