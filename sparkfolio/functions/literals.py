@@ -149,6 +149,14 @@ def matched_length(a: str | None, b: str | None, most: int | None = None) -> int
     return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 
 
+def similar(a: str | None, b: str | None, least: float) -> bool:
+    """Whether the ratio of two whole texts is ``least`` or more; its upper bounds come first."""
+    if not a or not b:
+        return False
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return a == b or (m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least)
+
+
 _MASKED = ST.StructType([ST.StructField("masked", ST.StringType()), ST.StructField("literals", ST.ArrayType(ST.StringType()))])
 _RESTORED = ST.StructType([ST.StructField("text", ST.StringType()), ST.StructField("error", ST.StringType())])
 
@@ -175,6 +183,11 @@ def similarity_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
+@F.arrow_udf(ST.BooleanType())
+def similar_udf(a: pa.Array, b: pa.Array, least: pa.Array) -> pa.Array:
+    return pa.array([similar(x, y, z) for x, y, z in zip(a.to_pylist(), b.to_pylist(), least.to_pylist())], pa.bool_())
+
+
 @F.arrow_udf(ST.IntegerType())
 def matched_length_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([matched_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import literals as L
 from sparkfolio.functions import text as X
+from sparkfolio.operators import terms as M
 from sparkfolio.thresholds import T
 
 #: Kinds of units in the order in which they are read at one place.
@@ -127,18 +128,35 @@ def same_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def output_quality(pairs: DataFrame) -> DataFrame:
-    """``pairs(unit_id, source, translated, target)``: script counts and the list of failures."""
+def output_quality(pairs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``pairs(unit_id, source, translated, target)``: script counts and the list of failures.
+
+    An output is ``unchanged`` also if its whole compacted text is nearly its
+    source's.  With ``terms``, each one that a source requires and its output
+    lacks is a failure ``term_missing:term_id``.
+    """
     said = F.coalesce("translated", F.lit(""))
     latin, cjk = X.count(said, X.LATIN), X.count(said, X.CJK_BASIC)
     lang = F.substring(F.lower("target"), 1, 2)
+    wide, source = lang.isin("zh", "ja", "ko"), X.nfkc(F.col("source"))
+    other = (wide & (X.count(source, X.LATIN) >= T.qa_latin)) | ((lang == "en") & (X.count(source, X.CJK_BASIC) >= T.qa_cjk))
+    compact = lambda c: X.casefold(F.regexp_replace(c, r"(?U)\s+", ""))
+    near = L.similar_udf(F.when(other, compact(source)), compact(X.nfkc(said)), F.lit(T.qa_similarity))
+    same = X.needs_translation(F.col("source"), F.col("target")) & (X.collapsed(F.col("source")) == X.collapsed(said))
     rules = F.array(
         F.when(F.trim(said) == "", "no_text"),
-        F.when((lang == "zh") & (latin >= T.qa_latin) & (cjk < T.qa_latin_cjk), "target_script_missing"),
+        F.when(wide & (latin >= T.qa_latin) & (cjk < T.qa_latin_cjk), "target_script_missing"),
         F.when((lang == "en") & (cjk >= T.qa_cjk) & (latin < T.qa_cjk_latin), "target_script_missing"),
-        F.when(X.needs_translation(F.col("source"), F.col("target")) & (X.collapsed(F.col("source")) == X.collapsed(said)), "unchanged"),
+        F.when(same | near, "unchanged"),
     )
     failures = F.filter(rules, lambda r: r.isNotNull())
+    if terms is not None:
+        required = M.requirements(pairs.select("unit_id", "source", F.col("target").alias("language")), terms, "source")
+        required = required.withColumn("required_target", X.key(X.nfkc(F.col("required_target"))))
+        lacking = M.missing(pairs.select("unit_id", X.key(X.nfkc(said)).alias("said")), required, "said")
+        listed = F.transform(F.array_sort(F.collect_set("term_id")), lambda t: F.concat(F.lit("term_missing:"), t.cast("string")))
+        pairs = pairs.join(lacking.groupBy("unit_id").agg(listed.alias("lacking")), "unit_id", "left")
+        failures = F.concat(failures, F.coalesce("lacking", F.array().cast("array<string>")))
     return pairs.select(
         "unit_id", latin.cast("int").alias("latin"), cjk.cast("int").alias("cjk"), F.array_join(failures, ",").alias("failures"), (F.size(failures) == 0).alias("passed"),
     )

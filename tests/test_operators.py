@@ -196,6 +196,24 @@ def test_terms(spark):
     assert {r.unit_id: r.instruction for r in M.instruction(required).collect()}[1] == "Use these terms: 批; 批记录"
 
 
+def test_output_quality_sees_near_copies_and_missing_terms(spark):
+    han, latin = "".join(chr(0x4E00 + i) for i in range(60)), "abcdefghijklmnop"
+    rows = [
+        (1, han + latin, "X" + (han + latin)[1:], "en"),
+        (2, han + latin, han[:30] + latin * 4, "en"),
+        (3, "The batch record of this product", "Le dossier de ce produit est ici", "ja"),
+        (4, "The batch record of this product", "Le dossier de ce produit est ici", "ko-KR"),
+        (5, "The batch record of this product", "这个产品的批 记录", "zh"),
+        (6, "The batch record of this product", "这个产品的文件", "zh"),
+        (7, "The batch record of this product", None, "zh"),
+    ]
+    pairs = spark.createDataFrame(rows, "unit_id int, source string, translated string, target string")
+    terms = spark.createDataFrame([(1, "batch", "批", "zh"), (2, "batch record", "批记录", "zh")], "term_id int, source_term string, required_target string, language string")
+    got = {r.unit_id: (r.failures, r.passed) for r in U.output_quality(pairs, terms).collect()}
+    assert got == {1: ("unchanged", False), 2: ("", True), 3: ("target_script_missing", False), 4: ("target_script_missing", False), 5: ("", True), 6: ("term_missing:1,term_missing:2", False), 7: ("no_text,term_missing:1,term_missing:2", False)}
+    assert {r.unit_id: r.failures for r in U.output_quality(pairs).collect()}[6] == ""
+
+
 def test_cache_computes_each_miss_once(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "fingerprint string")
     cache = spark.createDataFrame([("a", "old"), ("c", None)], "fingerprint string, result string")
