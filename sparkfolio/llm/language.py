@@ -30,6 +30,8 @@ FAMILIES = {
 UNKNOWN = "und"
 #: Documents that the models are fitted on, over all languages together, and how many of a language at most.
 SAMPLE, SAMPLE_PER_LANG = 1600, 400
+#: Different rows of a language that are looked at for its share of the sample: so many times the share, and so many more.
+SPARE, SPARE_LEAST = 2, 200
 #: Remainders of the id's checksum by this; rows with remainder 0 are never learned from.
 FOLDS = 5
 BUCKET_BITS = 12
@@ -150,21 +152,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most ``sample`` documents that have text and language and are not held out.
 
     Each language gives the same number at most, those with the least hash of
-    their id.  Only ids and languages are sorted; the chosen documents' vectors,
+    id and text; rows equal in both count once.  So no language can be crowded
+    out by another or by repeats of a row.  With more languages than ``sample``
+    those after it in the order of code points are not learned.  The hash's
+    bound is set from the number of different rows of each language, so that
+    little more than the sample is ever grouped; the chosen documents' vectors,
     24 KB each, come to the driver.
     """
     labelled = docs.where(col(text_col).isNotNull() & col(lang_col).isNotNull() & ~held_out(col(id_col)))
-    labelled = labelled.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"))
-    order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    names = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").limit(sample).collect()]
+    labelled = labelled.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
+    labelled = labelled.select("*", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), "text").alias("rank"))
+    names = labelled.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).orderBy("lang").limit(sample).collect()
     each = max(1, min(per_lang, sample // max(1, len(names))))
-    first = Window.partitionBy("lang").orderBy("rank", "id")
-    ranked = labelled.select("id", "lang", order.alias("rank")).select("*", F.row_number().over(first).alias("n"))
-    last = ranked.where(F.col("n") <= each).groupBy("lang").agg(F.max(F.struct("rank", "id")).alias("last"))
-    chosen = labelled.join(F.broadcast(last.where(F.col("lang").isin(names))), "lang").where(F.struct(order, "id") <= F.col("last"))
-    # Repeated rows of one id all pass that bound, so the number is bounded again.
-    rows = chosen.select("lang", F.col("id"), _features_udf("text").alias("x")).orderBy("lang", "id", "x").limit(2 * sample)
-    got = rows.select("lang", "x").collect()
+    room = SPARE * each + SPARE_LEAST
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, room / max(1, r.n))) for r in names], "lang string, share double")
+    low = labelled.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("rank", 11) < F.col("share") * float(1 << 53))
+    different = low.groupBy("lang", "rank").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("rank")  # about ``room`` rows of a language
+    chosen = different.select("*", F.row_number().over(order).alias("n")).where(F.col("n") <= each)
+    got = chosen.select("lang", "n", _features_udf("text").alias("x")).orderBy("lang", "n").collect()
     size = len(GRAMS) << BUCKET_BITS
     x = np.array([np.frombuffer(r.x, dtype=np.float16) for r in got], dtype=np.float32).reshape(len(got), size)
     return fit(x, [r.lang for r in got], FAMILIES if families is None else families)
@@ -192,7 +198,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Predictions read the text and nothing else.  A null text or one without a
     letter is ``und`` with score 0, and so is every text if there is nothing to
-    learn from.  Repeated rows get equal answers; an empty table gives an empty one.
+    learn from.  Repeated rows are learned from once and get equal answers, and
+    an id that many rows have counts once for each of its texts; an empty table
+    gives an empty one.
     """
     model = train(docs, id_col, text_col, lang_col)
     found = docs.select(

@@ -76,3 +76,22 @@ def test_one_language_and_nothing_to_learn(spark):
     none = [(i, "the thing and", None, 1, "p", 0) for i in range(20)]
     assert {r.lang_pred for r in language.identify(spark.createDataFrame(none, SCHEMA)).collect()} == {"und"}
     assert language.identify(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_repeats_wipe_out_no_language(spark):
+    """4,000 rows of one id, with one text or with many, against 100 of each other language."""
+    rng = random.Random(4)
+    made = lambda lang: " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(3)) for _ in range(30))
+    rest = [(i, made(lang), lang, 1, "p", 0) for i, lang in enumerate(["en", "fr"] * 100)]
+    one = made("de")
+    for german in ([(7, one, "de", 1, "p", 0)] * 4000, [(7, made("de"), "de", 1, "p", 0) for _ in range(4000)], [(None, one, "de", 1, "p", 0)] * 4000):
+        assert any(zlib.crc32(str(r[0] if r[0] is not None else "null").encode()) % 5 for r in german)
+        model = language.train(spark.createDataFrame(german + rest, SCHEMA).repartition(3))
+        assert sorted(a for m in model.members.values() for a in m) == ["de", "en", "fr"]
+        assert [model.predict(made(a))[0] for a in ("en", "fr")] == ["en", "fr"]
+
+
+def test_more_languages_than_the_sample(spark):
+    rows = [(i, f"word{i % 9} text", f"l{i % 9}", 1, "p", 0) for i in range(300)]
+    model = language.train(spark.createDataFrame(rows, SCHEMA), sample=4)
+    assert model.families == ["l0", "l1", "l2", "l3"]
