@@ -3,29 +3,38 @@
 An Aho-Corasick automaton finds all magic bytes of a column value in one pass.
 A format's validator then follows its structure from there and gives its
 length, or none if structure or lengths don't hold, so magic bytes alone never
-make a medium.  What starts at the first byte decides the value's type; valid
-media further in that lie in no other are carved.
+make a medium.  What starts at the first byte decides the value's type, which
+corrects the declared one; valid media further in that lie in no other are
+carved.  Terminators are looked up in lists made once for each value, and walks
+that meet go on as one, so magic bytes repeated all over a value don't make the
+work grow with its square.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import col
 
 UNIT = 64
 RATE = 8000
+#: What a text is declared to be where nothing else is said.
+DECLARED = "text/plain"
 #: Payload bytes after which a batch of rows is passed on.
 BATCH_BYTES = 16_000_000
+#: Bytes that are unpacked, and what may come out, at a time.
+GZIP_PIECE, GZIP_OUT = 1 << 16, 1 << 20
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -40,6 +49,32 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % UNIT or (UNIT if not raw else 0))
 
 
+class Value:
+    """The bytes of one value, with what validators share about them."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.view, self.places, self.walked = data, memoryview(data), {}, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1; all places are found once."""
+        if mark not in self.places:
+            found, i = [], self.data.find(mark)
+            while i >= 0:
+                found.append(i)
+                i = self.data.find(mark, i + 1)
+            self.places[mark] = found
+        places = self.places[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def before(self, mark: bytes, start: int, end: int) -> int:
+        """The last place of ``mark`` that lies in ``start:end``, or -1."""
+        self.after(mark, 0)
+        places = self.places[mark]
+        k = bisect_left(places, end - len(mark) + 1) - 1
+        return places[k] if k >= 0 and places[k] >= start else -1
+
+
 def riff_chunks(data: bytes, at: int) -> dict[bytes, tuple[int, int]] | None:
     """Place and length of each chunk of the RIFF file at ``at``; None if they don't add up."""
     if len(data) < at + 12:
@@ -57,71 +92,119 @@ def riff_chunks(data: bytes, at: int) -> dict[bytes, tuple[int, int]] | None:
     return out if i in (end, end + 1) else None
 
 
-def _riff(data: bytes, at: int) -> tuple[str, int] | None:
-    chunks = riff_chunks(data, at)
+def _riff(value: Value, at: int) -> tuple[str, int] | None:
+    data = value.data
     kind = {b"WAVE": "audio/wav", b"AVI ": "video/avi", b"WEBP": "image/webp"}.get(data[at + 8 : at + 12])
-    if chunks is None or kind is None or kind == "audio/wav" and not {b"fmt ", b"data"} <= chunks.keys():
+    end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+    # Files that end in one place and meet in a chunk are the same from there on.
+    if kind is None or end > len(data) or _walked(value, ("riff", end), at + 12, lambda i: _riff_step(data, i, end)) is None:
         return None
-    return kind, 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-
-
-def _png(data: bytes, at: int) -> tuple[str, int] | None:
+    if kind == "audio/wav" and not {b"fmt ", b"data"} <= (riff_chunks(data, at) or {}).keys():
+        return None
+    return kind, end - at
+
+
+def _riff_step(data: bytes, i: int, end: int) -> tuple[int | None, int | None]:
+    if i + 8 > end:
+        return None, end if i in (end, end + 1) else None
+    n = int.from_bytes(data[i + 4 : i + 8], "little")
+    return (None, None) if i + 8 + n > end else (i + 8 + n + n % 2, None)
+
+
+def _walked(value: Value, kind: object, i: int, step: Callable[[int], tuple[int | None, int | None]]) -> int | None:
+    """Where a walk from ``i`` ends, by steps ``(next place or None, end or None)``; each place is walked from once."""
+    path, known = [], value.walked.setdefault(kind, {})
+    while i not in known:
+        path.append(i)
+        following, end = step(i)
+        if following is None:
+            break
+        i = following
+    else:
+        end = known[i]
+    for k in path:
+        known[k] = end
+    return end
+
+
+def _png(value: Value, at: int) -> tuple[str, int] | None:
+    data = value.data
+    if data[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+    # Lengths first: only a chain that ends well is worth its checksums.
+    end = _walked(value, "png", at + 8, lambda i: _png_step(data, i))
     i = at + 8
-    while i + 12 <= len(data):
+    while end is not None and i < end:
         n = int.from_bytes(data[i : i + 4], "big")
-        if i + 12 + n > len(data) or zlib.crc32(data[i + 4 : i + 8 + n]) != int.from_bytes(data[i + 8 + n : i + 12 + n], "big"):
-            return None
-        if (i == at + 8) != (data[i + 4 : i + 8] == b"IHDR"):
+        right = value.walked.setdefault("png sums", {})
+        if i not in right:
+            right[i] = zlib.crc32(value.view[i + 4 : i + 8 + n]) == int.from_bytes(data[i + 8 + n : i + 12 + n], "big")
+        if not right[i]:
             return None
         i += 12 + n
-        if data[i - 8 - n : i - 4 - n] == b"IEND":
-            return "image/png", i - at
-    return None
+    return ("image/png", end - at) if end is not None else None
+
+
+def _png_step(data: bytes, i: int) -> tuple[int | None, int | None]:
+    n = int.from_bytes(data[i : i + 4], "big")
+    past = i + 12 + n
+    if i + 12 > len(data) or past > len(data):
+        return None, None
+    return (None, past) if data[i + 4 : i + 8] == b"IEND" else (past, None)
 
 
-def _gif(data: bytes, at: int) -> tuple[str, int] | None:
+def _gif(value: Value, at: int) -> tuple[str, int] | None:
+    data = value.data
     if at + 13 > len(data):
         return None
     table = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
-    i = at + 13 + table(data[at + 10])
-    while i < len(data):
+
+    # Places of blocks are even numbers of a walk, those of the sub-blocks within them odd ones.
+    def step(place: int) -> tuple[int | None, int | None]:
+        i, within = place >> 1, place & 1
+        if i >= len(data):
+            return None, None
+        if within:
+            return ((i + data[i] + 1) << 1 | 1 if data[i] else (i + 1) << 1), None
         if data[i] == 0x3B:
-            return "image/gif", i + 1 - at
+            return None, i + 1
         if data[i] == 0x21:
-            i += 2
-        elif data[i] == 0x2C and i + 10 < len(data):
-            i += 11 + table(data[i + 9])
-        else:
-            return None
-        while i < len(data) and data[i]:
-            i += data[i] + 1
-        i += 1
-    return None
+            return (i + 2) << 1 | 1, None
+        if data[i] == 0x2C and i + 10 < len(data):
+            return (i + 11 + table(data[i + 9])) << 1 | 1, None
+        return None, None
 
+    end = _walked(value, "gif", (at + 13 + table(data[at + 10])) << 1, step)
+    return ("image/gif", end - at) if end is not None else None
 
-def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
-    i = at + 2
-    while i + 4 <= len(data) and data[i] == 0xFF:
-        marker, n = data[i + 1], int.from_bytes(data[i + 2 : i + 4], "big")
-        if n < 2:
-            return None
-        i += 2 + n
-        if marker == 0xDA:
-            end = data.find(b"\xff\xd9", i)
-            return ("image/jpeg", end + 2 - at) if end >= 0 else None
-    return None
 
+def _jpeg(value: Value, at: int) -> tuple[str, int] | None:
+    data = value.data
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
+    def step(i: int) -> tuple[int | None, int | None]:
+        n = int.from_bytes(data[i + 2 : i + 4], "big")
+        if i + 4 > len(data) or data[i] != 0xFF or n < 2:
+            return None, None
+        if data[i + 1] != 0xDA:
+            return i + 2 + n, None
+        end = value.after(b"\xff\xd9", i + 2 + n)
+        return None, end + 2 if end >= 0 else None
+
+    end = _walked(value, "jpeg", at + 2, step)
+    return ("image/jpeg", end - at) if end is not None else None
+
+
+def _pdf(value: Value, at: int) -> tuple[str, int] | None:
+    data = value.data
     if not (data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"." and data[at + 7 : at + 8].isdigit()):
         return None
-    following = data.find(b"%PDF-", at + 5)
-    end = data.rfind(b"%%EOF", at, following if following >= 0 else len(data))
-    return ("application/pdf", end + 5 - at) if end >= 0 and b"startxref" in data[at:end] else None
+    following = value.after(b"%PDF-", at + 5)
+    end = value.before(b"%%EOF", at, following if following >= 0 else len(data))
+    return ("application/pdf", end + 5 - at) if end >= 0 and value.before(b"startxref", at, end) >= 0 else None
 
 
-def _zip(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"PK\x05\x06", at)
+def _zip(value: Value, at: int) -> tuple[str, int] | None:
+    data, end = value.data, value.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return None
     size, start, note = struct.unpack("<IIH", data[end + 12 : end + 22])
@@ -129,20 +212,23 @@ def _zip(data: bytes, at: int) -> tuple[str, int] | None:
     return ("application/zip", end + 22 + note - at) if ok and end + 22 + note <= len(data) else None
 
 
-def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
-    unzip = zlib.decompressobj(31)
+def _gzip(value: Value, at: int) -> tuple[str, int] | None:
+    """Unpacked in pieces and let go at the first fault; a value of valid streams within streams takes one pass for each."""
+    unzip, i = zlib.decompressobj(31), at
     try:
-        rest = data[at:]
-        while rest and not unzip.eof:
-            unzip.decompress(rest, 1 << 20)
-            rest = unzip.unconsumed_tail
+        while i < len(value.data) and not unzip.eof:
+            piece = value.view[i : i + GZIP_PIECE]
+            i += len(piece)
+            unzip.decompress(piece, GZIP_OUT)
+            while unzip.unconsumed_tail and not unzip.eof:
+                unzip.decompress(unzip.unconsumed_tail, GZIP_OUT)
     except zlib.error:
         return None
-    return ("application/gzip", len(data) - at - len(unzip.unused_data)) if unzip.eof else None
+    return ("application/gzip", i - at - len(unzip.unused_data)) if unzip.eof else None
 
 
 #: Magic bytes and the validator of their format.
-FORMATS: tuple[tuple[bytes, Callable[[bytes, int], tuple[str, int] | None]], ...] = (
+FORMATS: tuple[tuple[bytes, Callable[[Value, int], tuple[str, int] | None]], ...] = (
     (b"RIFF", _riff), (b"\x89PNG\r\n\x1a\n", _png), (b"GIF87a", _gif), (b"GIF89a", _gif), (b"\xff\xd8\xff", _jpeg),
     (b"%PDF-", _pdf), (b"PK\x03\x04", _zip), (b"\x1f\x8b\x08", _gzip),
 )
@@ -165,10 +251,10 @@ def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     inside the first medium's own bytes is carved too, but nothing inside a
     carved one; of magic bytes in the same place the first valid ones count.
     """
-    first, carved, past = None, [], 0
+    first, carved, past, value = None, [], 0, Value(data)
     for stop, (k, n) in automaton().iter(data.decode("latin-1")):
         at = stop - n + 1
-        if at < past or not (found := FORMATS[k][1](data, at)):
+        if at < past or not (found := FORMATS[k][1](value, at)):
             continue
         if at == 0 and first is None:
             first = found
@@ -197,86 +283,122 @@ def _sliced(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, media``: each text's padded UTF-8 bytes as the samples of a WAV file.
-
-    A null text is an empty one; its payload is UNIT zero bytes.
+def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``id, n_bytes, declared, media`` of texts ``id, text, declared``."""
+    for batch in batches:
+        raw = batch.column(1).cast(pa.large_binary())
+        for i, x, declared in zip(batch.column(0), raw, batch.column(2)):
+            x = x.as_py() or b""
+            yield i.as_py(), len(x), declared.as_py(), to_wav(padded(x))
+
+
+def read_back(media: bytes) -> tuple[bytes | None, str, str]:
+    """Payload, type and features of a stored form, from its bytes alone; no payload if it isn't a WAV file."""
+    what = (_riff(Value(media), 0) if media[:4] == b"RIFF" else None) or ("", 0)
+    if what[0] != "audio/wav":
+        what, length, carved = sniff(media)
+        return None, what, f"{what};bytes={length}" + "".join(f";carved={t}@{s}+{m}" for t, s, m in carved)
+    what = what[0]
+    chunks = riff_chunks(media, 0)
+    form, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, chunks[b"fmt "][0])
+    at, size = chunks[b"data"]
+    payload = media[at : at + size]
+    feature = f"{what};format={form};channels={channels};rate={rate};bits={bits};samples={size}"
+    if size:
+        v = np.frombuffer(payload, dtype=np.uint8)
+        feature += f";min={v.min()};max={v.max()};sum={v.sum(dtype=np.int64)}"
+    return payload, what, feature
+
+
+def inspect(media: bytes, declared: str | None) -> tuple[bytes | None, str, bool, list[tuple[str, int, int]], str]:
+    """Payload, type, whether that corrects the declared one, carved media and feature of a stored value.
+
+    What is sniffed is the payload read back, or the value itself where it is
+    no WAV file; places of carved media count from the start of what is sniffed.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
+    payload, form, feature = read_back(media)
+    what, length, carved = sniff(media if payload is None else payload)
+    corrected = what != declared
+    if payload is None:
+        return None, what, corrected, carved, f"{feature};corrected={str(corrected).lower()}"
+    feature += f";content={what};length={length};corrected={str(corrected).lower()}" + "".join(f";carved={t}@{s}+{m}" for t, s, m in carved)
+    return payload, what, corrected, carved, feature
+
 
-    kind = docs.select(col(id_col)).schema[0].dataType
-    schema = pa.schema([("id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("media", pa.binary())])
+def _id_type(df: DataFrame, id_col: str) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def build(batches):
-        def rows():
-            for batch in batches:
-                raw = batch.column(1).cast(pa.large_binary())
-                for i, x in zip(batch.column(0), raw):
-                    x = x.as_py() or b""
-                    yield i.as_py(), len(x), to_wav(padded(x))
+    kind = df.select(col(id_col)).schema[0].dataType
+    return kind.simpleString(), to_arrow_type(kind)
 
-        yield from _sliced(rows(), schema)
 
-    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(build, f"id {kind.simpleString()}, n_bytes long, media binary")
+def _texts(docs: DataFrame, id_col: str, text_col: str, declared: Column | None) -> DataFrame:
+    declared = F.lit(DECLARED) if declared is None else declared
+    return docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), declared.cast("string").alias("declared"))
 
 
-def inspected(media: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
-    """``media(id, n_bytes, media)`` with ``payload, type, corrected, carved, feature``, read from the bytes alone.
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None) -> DataFrame:
+    """``id, n_bytes, declared, media``: each text's padded UTF-8 bytes as the samples of a WAV file.
 
-    ``corrected`` says that the type differs from the declared one.  The
-    payload is that of a WAV file's data chunk, null for other types; the
-    feature string has the type, the samples' format, number, least, largest
-    and sum, and the carved media.
+    A null text is an empty one; its payload is UNIT zero bytes.  ``declared``
+    is a column with the content's type, text/plain where none is given.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
+    name, kind = _id_type(docs, id_col)
+    schema = pa.schema([("id", kind), ("n_bytes", pa.int64()), ("declared", pa.string()), ("media", pa.binary())])
+    return _texts(docs, id_col, text_col, declared).mapInArrow(lambda it: _sliced(_stored_rows(it), schema), f"id {name}, n_bytes long, declared string, media binary")
 
-    kind = media.schema["id"].dataType
+
+def inspected(media: DataFrame) -> DataFrame:
+    """``media(id, n_bytes, declared, media)`` with ``payload, type, corrected, carved, feature``, read from the bytes alone.
+
+    ``corrected`` says that the type differs from the declared one, also where
+    that is null.  The payload is that of a WAV file's data chunk, null for
+    other types; the feature string has the samples' format, number, least,
+    largest and sum, the content's type and the carved media.
+    """
+    name, kind = _id_type(media, "id")
     schema = pa.schema([
-        ("id", to_arrow_type(kind)), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("type", pa.string()),
+        ("id", kind), ("n_bytes", pa.int64()), ("declared", pa.string()), ("media", pa.binary()), ("payload", pa.binary()), ("type", pa.string()),
         ("corrected", pa.bool_()), ("carved", pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))), ("feature", pa.string()),
     ])
 
-    def read(batches):
-        def rows():
-            for batch in batches:
-                for i, n, data in zip(*batch.columns):
-                    data = data.as_py() or b""
-                    what, length, carved = sniff(data)
-                    payload, feature = None, f"{what};bytes={length}"
-                    if what == "audio/wav":
-                        chunks = riff_chunks(data, 0)
-                        form, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, chunks[b"fmt "][0])
-                        at, size = chunks[b"data"]
-                        payload = data[at : at + size]
-                        v = np.frombuffer(payload, dtype=np.uint8)
-                        feature = f"{what};format={form};channels={channels};rate={rate};bits={bits};samples={size}"
-                        if size:
-                            feature += f";min={v.min()};max={v.max()};sum={v.sum(dtype=np.int64)}"
-                    feature += "".join(f";carved={t}@{s}+{m}" for t, s, m in carved)
-                    listed = [{"type": t, "start": s, "length": m} for t, s, m in carved]
-                    yield i.as_py(), n.as_py(), data, payload, what, what != declared, listed, feature
-
-        yield from _sliced(rows(), schema)
-
-    return media.select("id", "n_bytes", "media").mapInArrow(
-        read,
-        f"id {kind.simpleString()}, n_bytes long, media binary, payload binary, type string, corrected boolean,"
+    def rows(batches):
+        for batch in batches:
+            for i, n, declared, data in zip(*batch.columns):
+                data = data.as_py() or b""
+                payload, what, corrected, carved, feature = inspect(data, declared.as_py())
+                listed = [{"type": t, "start": s, "length": m} for t, s, m in carved]
+                yield i.as_py(), n.as_py(), declared.as_py(), data, payload, what, corrected, listed, feature
+
+    return media.select("id", "n_bytes", "declared", "media").mapInArrow(
+        lambda it: _sliced(rows(it), schema),
+        f"id {name}, n_bytes long, declared string, media binary, payload binary, type string, corrected boolean,"
         " carved array<struct<type: string, start: long, length: long>>, feature string",
     )
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None) -> DataFrame:
     """Digests of each text's stored form and of the payload read back from it.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature``.  Rows are independent: repeated rows and null ids
-    come back as they came, equal texts have equal values, and an empty table
-    gives an empty one.
+    come back as they came, equal texts of one declared type have equal values,
+    and an empty table gives an empty one.  Media are made, read back and
+    hashed in one place, so they never leave the worker.
     """
-    read = inspected(stored(docs, id_col, text_col))
-    payload, media = F.col("payload"), F.col("media")
-    return read.select(
-        F.col("id").alias("doc_id"), "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"),
-        F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -UNIT, UNIT)).alias("tail_crc32"),
-        F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "feature",
-    )
+    name, kind = _id_type(docs, id_col)
+    schema = pa.schema([
+        ("doc_id", kind), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+    ])
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+
+    def rows(batches):
+        for i, n, declared, media in _stored_rows(batches):
+            payload, _, _, _, feature = inspect(media, declared)
+            yield i, n, len(payload), sha(payload), zlib.crc32(payload[-UNIT:]), len(media), sha(media), feature
+
+    return _texts(docs, id_col, text_col, declared).mapInArrow(
+        lambda it: _sliced(rows(it), schema),
+        f"doc_id {name}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+    )

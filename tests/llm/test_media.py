@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import random
 import struct
 import wave
 import zipfile
@@ -45,8 +46,9 @@ def test_round_trip_of_texts(spark):
     for r in got:
         assert by_payload.setdefault((r.payload_sha256, r.n_bytes), (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     pdf = next(r for r in got if r.doc_id == 9)
-    assert f"carved=application/pdf@44+{len(PDF)}" in pdf.feature
-    assert "carved" not in next(r for r in got if r.doc_id == 8).feature
+    assert pdf.feature.endswith(f"content=application/pdf;length={len(PDF)};corrected=true")
+    plain = next(r for r in got if r.doc_id == 8)
+    assert plain.feature.startswith("audio/wav;format=1;channels=1;rate=8000;bits=8;samples=64;min=0;max=") and plain.feature.endswith("content=text/plain;length=64;corrected=false")
 
 
 def test_the_standard_library_reads_the_stored_form():
@@ -69,9 +71,61 @@ def test_formats_and_broken_ones():
 
 
 def test_types_are_corrected(spark):
-    df = spark.createDataFrame([(1, 3, bytearray(png())), (2, 4, bytearray(b"text")), (3, 0, None)], "id long, n_bytes long, media binary")
-    got = {r.id: r for r in media.inspected(df, declared="image/png").collect()}
-    assert [(got[i].type, got[i].corrected) for i in (1, 2, 3)] == [("image/png", False), ("text/plain", True), ("text/plain", True)]
+    rows = [(1, 3, "image/png", bytearray(png())), (2, 4, "image/png", bytearray(b"text")), (3, 0, None, None), (4, 5, "text/plain", bytearray(media.to_wav(b"..." + GIF)))]
+    df = spark.createDataFrame(rows, "id long, n_bytes long, declared string, media binary")
+    got = {r.id: r for r in media.inspected(df).collect()}
+    assert [(got[i].type, got[i].corrected) for i in (1, 2, 3, 4)] == [("image/png", False), ("text/plain", True), ("text/plain", True), ("application/octet-stream", True)]
+    assert [tuple(c) for c in got[4].carved] == [("image/gif", 3, len(GIF))] and bytes(got[4].payload) == b"..." + GIF
+
+
+def test_a_declared_column_decides_per_row(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, PDF.decode(), "application/pdf"), (2, PDF.decode(), "text/plain"), (3, "hello " + PDF.decode(), "text/plain"), (4, "x", None)], "doc_id long, text string, kind string")
+    got = {r.doc_id: r.feature for r in media.media_columns(df, declared=F.col("kind")).collect()}
+    assert got[1].endswith("corrected=false") and got[2].endswith("corrected=true")
+    assert f"content=text/plain;length=64;corrected=false;carved=application/pdf@6+{len(PDF)}" in got[3] and got[4].endswith("corrected=true")
+    through = {r.id: r.feature for r in media.inspected(media.stored(df, declared=F.col("kind"))).collect()}
+    assert through == got
+
+
+def plain_feature(text, declared="text/plain"):
+    """The feature of a text in which PDF files are the only media, by the standard library."""
+    pay = media.padded((text or "").encode())
+    with wave.open(io.BytesIO(media.to_wav(pay))) as w:
+        v = w.readframes(w.getnframes())
+        head = f"audio/wav;format=1;channels={w.getnchannels()};rate={w.getframerate()};bits={8 * w.getsampwidth()};samples={w.getnframes()}"
+    found, at = [], 0
+    while (at := v.find(PDF, at)) >= 0:
+        found.append(at)
+        at += len(PDF)
+    first = found[:1] == [0]
+    what, length = ("application/pdf", len(PDF)) if first else ("text/plain", len(v))
+    carved = "".join(f";carved=application/pdf@{p}+{len(PDF)}" for p in (found[1:] if first else found))
+    return f"{head};min={min(v)};max={max(v)};sum={sum(v)};content={what};length={length};corrected={str(what != declared).lower()}{carved}"
+
+
+def test_features_against_brute_force(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice([PDF.decode(), "RIFF", "PK\x03\x04", "%PDF-", "GIF89a", "é🤣", "plain ", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None]
+    # A start without a version that is no file still ends the one before it; leave those out.
+    texts = [t for t in texts if t is None or "%PDF-" not in t.replace(PDF.decode(), "")]
+    got = {r.doc_id: r for r in media.media_columns(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].feature == plain_feature(t), t
+        raw = media.to_wav(media.padded((t or "").encode()))
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+
+
+def test_repeated_magic_takes_linear_time():
+    import time
+
+    head = png()[:33]
+    for unit in (b"PK\x03\x04", b"PK\x05\x06" + b"\0" * 18 + b"PK\x03\x04", b"\x1f\x8b\x08\0", b"%PDF-1.4", b"GIF89a\x01\0\x01\0\0\0\0!\xff\x01", b"\xff\xd8\xff\xda\0\x02", head + struct.pack(">I", 1 << 19) + b"IDAT", b"RIFF\0\0\1\0WAVE", b"RIFF\0\0\0\0AVI "):
+        data = unit * (400_000 // len(unit))
+        began = time.perf_counter()
+        media.sniff(data)
+        assert time.perf_counter() - began < 3, unit
 
 
 def test_empty(spark):
