@@ -24,19 +24,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILE_ROWS = 200_000
 
 
-#: Folders of applications that have none configured, as in tests on one machine.
+#: Folder of each application.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one is made only where none is configured."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="sparkfolio-checkpoint-")
-        at = _OWN[app]
-    return at.rstrip("/")
+    """This application's folder in ``spark.checkpoint.dir``; it is deleted when the driver ends.
+
+    Where none is configured, one is made for a local master only: executors of
+    a cluster do not share the driver's disk.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="sparkfolio-checkpoint-")
+        _OWN[app] = f"{at.rstrip('/')}/sparkfolio-{app}"
+        path, system = _path(spark, _OWN[app])
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return _OWN[app]
+
+
+def _path(spark: SparkSession, name: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -55,11 +69,9 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by ``written`` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _path(df.sparkSession, name)
+        system.delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

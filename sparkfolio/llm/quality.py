@@ -6,10 +6,16 @@ transformed statistics of a group have a minimum-covariance-determinant
 estimate of place and spread, and a document too far from it by its
 Mahalanobis distance is rejected.
 
-The estimate starts from medians and quartiles and takes concentration steps:
-the rows nearest by the estimate so far give the next one, whose determinant
-is never larger.  Quantiles within groups are read off histograms and moments
-are sums, so that no group, however large, is ever in one place.
+Three of the four statistics are zero in most documents, so the covariance of a
+subset has no inverse; the estimate is the regularised one, whose spread is the
+subset's and a fixed target.  It has several deterministic starts: medians and
+quartile ranges, all rows, the half nearest the medians, and the directions
+from them.  From each, concentration steps are taken: the rows nearest by the
+estimate so far give the next one, whose determinant is no larger, until none
+falls any more; the least determinant is the group's.  Quantiles within groups
+are read off histograms, rows of the last bin count by the part of them that is
+needed, and moments are sums, so that no group, however large, is ever in one
+place.
 """
 
 from __future__ import annotations
@@ -19,13 +25,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import WORD, col, fresh, pinned, written
+from sparkfolio.llm.common import WORD, col, drop_written, fresh, pinned, written
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "[#*$%&|<>]"
-#: Part of a group that the estimate rests on, concentration steps, least rows of a group of its own.
-SUBSET, STEPS, MIN_GROUP = 0.75, 4, 50
-#: Spread that each statistic has at least: mean word length (log), symbols, repeated lines, repeated words.
+#: Part of a group that the estimate rests on, most concentration steps, least rows of a group of its own.
+SUBSET, STEPS, MIN_GROUP = 0.75, 30, 50
+#: Target that is added to the spread of a subset: mean word length (log), symbols, repeated lines, repeated words.
 #: The last three are zero in most documents, so that their own spread says nothing about what is far.
 LEAST_SPREAD = (0.13, 0.20, 0.15, 0.20)
 #: Chance that a document of a normal group is rejected.
@@ -33,7 +39,9 @@ TAIL = 1e-5
 #: Groups up to which their estimates are broadcast.
 BROADCAST_GROUPS = 10_000
 #: Bins of a unit of the logarithm of a squared distance, and of a least spread.
-DISTANCE_BINS, VALUE_BINS = 50, 20
+DISTANCE_BINS, VALUE_BINS = 200, 20
+#: Change of the determinant's logarithm that bins of this width can make: steps that change it less are the last.
+STABLE = 1 / DISTANCE_BINS
 P = len(LEAST_SPREAD)
 
 
@@ -104,8 +112,8 @@ def consistency() -> float:
     return SUBSET / (1 - chi_square_tail(chi_square_point(1 - SUBSET), P + 2))
 
 
-def _joined(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(groups) if small else groups, "gid")
+def _joined(rows: DataFrame, groups: DataFrame, small: bool, on=("gid",)) -> DataFrame:
+    return rows.join(F.broadcast(groups) if small else groups, list(on))
 
 
 def _distance(rows: DataFrame, name: str) -> DataFrame:
@@ -126,7 +134,10 @@ def _distance(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _factored(groups: DataFrame, spread) -> DataFrame:
-    """``gid, m, f`` from means ``m0..`` and a function that gives each entry of the spread as a column."""
+    """``gid, start, m, f, size`` from means ``m0..`` and a function that gives each entry of the spread as a column.
+
+    ``f`` is the lower triangle of the spread's root, by row, ``size`` the logarithm of its determinant.
+    """
     at = {}
     for i in range(P):
         for j in range(i + 1):
@@ -136,10 +147,16 @@ def _factored(groups: DataFrame, spread) -> DataFrame:
             v = F.sqrt(F.greatest(v, F.lit(LEAST_SPREAD[i] ** 2 * 1e-3))) if i == j else v / F.col(f"f{j}{j}")
             groups = groups.select("*", v.alias(f"f{i}{j}"))
             at[i, j] = F.col(f"f{i}{j}")
-    return groups.select("gid", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("m"), F.array(*at.values()).alias("f"))
+    size = 2 * sum((F.log(F.col(f"f{i}{i}")) for i in range(1, P)), F.log(F.col("f00")))
+    return groups.select("gid", "start", F.array(*[F.col(f"m{i}") for i in range(P)]).alias("m"), F.array(*at.values()).alias("f"), size.alias("size"))
+
+
+def _ridge(spread) -> object:
+    """``spread(i, j)`` and the target."""
+    return lambda i, j: spread(i, j) + (LEAST_SPREAD[i] ** 2 if i == j else 0.0)
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame) -> DataFrame:
     """Medians and quartile ranges per group, by histogram."""
     width = [s / VALUE_BINS for s in LEAST_SPREAD]
     bins = F.array(*[F.struct(F.lit(i).alias("d"), F.floor(F.col(f"x{i}") / width[i]).alias("b")) for i in range(P)])
@@ -151,51 +168,105 @@ def _start(rows: DataFrame) -> DataFrame:
         *[(at(0.5, i) + width[i] / 2).alias(f"m{i}") for i in range(P)],
         *[((at(0.75, i) - at(0.25, i)) / 1.349).alias(f"s{i}") for i in range(P)],
     )
-    return _factored(found, lambda i, j: F.col(f"s{i}") * F.col(f"s{i}") + LEAST_SPREAD[i] ** 2 if i == j else F.lit(0.0))
+    found = found.select("*", F.lit(0).alias("start"))
+    return _factored(found, _ridge(lambda i, j: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)))
+
+
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
+    """The estimates that concentration begins from: four a group."""
+    middle = written(_medians(rows), "medians", 1)
+    everything = rows.select("*", F.lit(1).alias("start"), F.lit(1.0).alias("w"), *[F.lit(0.0).alias(f"c{i}") for i in range(P)])
+    half = _nearest(rows, middle, small, 0.5).withColumn("start", F.lit(2))
+    # Directions from the medians: what lies far counts no more than what lies near.
+    far = _distance(_joined(rows, middle, small), "d2")
+    unit = F.sqrt(F.greatest(F.col("d2"), F.lit(1e-12)))
+    way = [(F.col(f"x{i}") - F.col("m")[i]) / unit for i in range(P)]
+    signs = far.select("gid", "m", *[v.alias(f"v{i}") for i, v in enumerate(way)])
+    sums = signs.groupBy("gid").agg(
+        F.first("m").alias("m"), *[F.avg(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+    )
+    sums = sums.select("*", F.lit(3).alias("start"), *[F.col("m")[i].alias(f"m{i}") for i in range(P)])
+    directions = _factored(sums, _ridge(lambda i, j: F.col(f"c{i}{j}") * P))
+    out = written(middle.unionAll(_moments(everything)).unionAll(_moments(half)).unionAll(directions), "starts", 1)
+    drop_written(middle)
+    return out
+
 
+def _nearest(rows: DataFrame, estimate: DataFrame, small: bool, part: float = SUBSET) -> DataFrame:
+    """The rows of each group with the least distances, with weights ``w`` that add up to ``part`` of it.
 
-def _nearest(rows: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
-    """The SUBSET of each group's rows with the least distances (up to a bin's width)."""
-    far = _distance(_joined(rows, estimate, small), "d2").drop("m", "f")
+    Distances are compared by bins; the rows of the last one have equal weights.
+    ``c0..`` is the place that they were measured from.
+    """
+    far = _distance(_joined(rows, estimate, small), "d2")
     far = far.select("*", F.floor(F.log(F.col("d2") + 1e-12) * DISTANCE_BINS).alias("bin"))
-    n = far.groupBy("gid", "bin").agg(F.count("*").alias("n"))
-    n = n.select("*", F.sum("n").over(Window.partitionBy("gid").orderBy("bin")).alias("upto"), F.sum("n").over(Window.partitionBy("gid")).alias("all"))
-    last = n.where(F.col("upto") >= SUBSET * F.col("all")).groupBy("gid").agg(F.min("bin").alias("last"))
-    return _joined(far, last, small).where(F.col("bin") <= F.col("last"))
+    n = far.groupBy("gid", "start", "bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("gid", "start")
+    n = n.select("*", (F.sum("n").over(group.orderBy("bin")) - F.col("n")).alias("before"), (part * F.sum("n").over(group)).alias("need"))
+    last = n.where((F.col("before") < F.col("need")) & (F.col("before") + F.col("n") >= F.col("need")))
+    last = last.select("gid", "start", F.col("bin").alias("last"), ((F.col("need") - F.col("before")) / F.col("n")).alias("share"))
+    near = _joined(far, last, small, ("gid", "start")).where(F.col("bin") <= F.col("last"))
+    return near.select(
+        "gid", "start", *[f"x{i}" for i in range(P)], F.when(F.col("bin") == F.col("last"), F.col("share")).otherwise(1.0).alias("w"),
+        *[F.col("m")[i].alias(f"c{i}") for i in range(P)],
+    )
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Means and spread of each group's rows; LEAST_SPREAD is added to what they show."""
-    x = [F.col(f"x{i}") for i in range(P)]
-    sums = rows.groupBy("gid").agg(
-        *[F.avg(x[i]).alias(f"m{i}") for i in range(P)],
-        *[F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
-    )
+    """Means and spread of each group's weighted rows, about the place ``c0..``; the target is added to what they show."""
+    x = [F.col(f"x{i}") - F.col(f"c{i}") for i in range(P)]
+    w = F.col("w")
+    sums = rows.groupBy("gid", "start").agg(
+        F.sum("w").alias("w"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(P)], *[F.sum(w * x[i]).alias(f"a{i}") for i in range(P)],
+        *[F.sum(w * x[i] * x[j]).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)],
+    )
+    mean = lambda i: F.col(f"a{i}") / F.col("w")
+    sums = sums.select("*", *[(F.col(f"c{i}") + mean(i)).alias(f"m{i}") for i in range(P)])
     scale = consistency()
-    return _factored(sums, lambda i, j: F.col(f"c{i}{j}") * scale + (LEAST_SPREAD[i] ** 2 if i == j else 0.0))
+    return _factored(sums, _ridge(lambda i, j: (F.col(f"q{i}{j}") / F.col("w") - mean(i) * mean(j)) * scale))
+
+
+def concentrated(rows: DataFrame, small: bool) -> DataFrame:
+    """``gid, m, f`` of ``rows(gid, x0..)``: the start whose steps end at the least determinant."""
+    now = _starts(rows, small)
+    for _ in range(STEPS):
+        after = written(_moments(_nearest(rows, now, small)), "estimate", 1)
+        fall = after.join(now.select("gid", "start", F.col("size").alias("old")), ["gid", "start"]).agg(F.max(F.abs(F.col("old") - F.col("size")))).first()[0]
+        drop_written(now)
+        now = after
+        if fall is None or fall < STABLE:
+            break
+    best = now.groupBy("gid").agg(F.min_by(F.struct("m", "f"), F.struct("size", "start")).alias("e")).select("gid", "e.*")
+    out = written(best, "estimate", 1)
+    drop_written(now)
+    return out
 
 
 def estimates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``rows(lang, source, x0..)``: groups ``(lang, source, gid)`` and estimates ``(gid, m, f)``.
 
-    A pair of language and source with fewer than MIN_GROUP rows is pooled with
-    other such pairs of its language, and where those are too few, with the
-    rest of them; what is still too small has no estimate, and nothing in it
-    is rejected.
+    A pair of language and source with fewer than MIN_GROUP rows is judged by
+    all rows of its language, and where those are too few, by all rows there
+    are; only if these are fewer than MIN_GROUP is there no estimate, and
+    nothing is rejected.
     """
     n = written(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "pairs", 1)
     small = n.count() <= BROADCAST_GROUPS
-    own = F.col("n") >= MIN_GROUP
-    of_lang = F.sum(F.when(~own, F.col("n"))).over(Window.partitionBy("lang"))
+    whole = F.sum("n").over(Window.partitionBy())
+    of_lang = F.sum("n").over(Window.partitionBy("lang"))
     key = lambda level, *c: F.to_json(F.struct(F.lit(level).alias("level"), *c))
-    gid = F.when(own, key(0, "lang", "source")).when(F.col("of_lang") >= MIN_GROUP, key(1, "lang")).otherwise(key(2))
-    groups = n.select("*", of_lang.alias("of_lang")).select("lang", "source", gid.alias("gid"), "n")
-    groups = groups.select("*", F.sum("n").over(Window.partitionBy("gid")).alias("all")).where(F.col("all") >= MIN_GROUP)
-    groups = written(groups.select("lang", "source", "gid"), "groups", 1)
-    named = _grouped(rows, groups, small).select("gid", *[f"x{i}" for i in range(P)])
-    estimate = written(_start(named), "estimate", 1)
-    for _ in range(STEPS):
-        estimate = written(_moments(_nearest(named, estimate, small)), "estimate", 1)
+    own, lang, all_ = key(0, "lang", "source"), key(1, "lang"), key(2)
+    gid = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("of_lang") >= MIN_GROUP, lang).when(F.col("whole") >= MIN_GROUP, all_)
+    groups = n.select("*", of_lang.alias("of_lang"), whole.alias("whole")).select("lang", "source", gid.alias("gid"))
+    groups = written(groups.where("gid is not null"), "groups", 1)
+    # A row counts in its pair's estimate and in those of its language and of all rows, where some pair needs them.
+    needed = F.broadcast(groups.select("gid").distinct()) if small else groups.select("gid").distinct()
+    counted = n.select("lang", "source", F.explode(F.array(own, lang, all_)).alias("gid")).join(needed, "gid", "left_semi")
+    counted = written(counted, "counted", 1)
+    named = _grouped(rows, counted, small).select("gid", *[f"x{i}" for i in range(P)])
+    estimate = concentrated(named, small)
+    drop_written(n)
+    drop_written(counted)
     return groups, estimate
 
 
@@ -244,10 +315,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that pass, columns unchanged.
 
-    The estimates are made from narrow rows first; each document is then
-    judged where it lies, so that texts are read twice but never shuffled.
+    The counts are written next to the documents, so they are made once; the
+    estimates read only them, and each document is then judged where it lies,
+    so that texts are never shuffled.
     """
-    narrow = written(_prepared(docs, text_col, lang_col, source_col, []), "counts")
-    groups, estimate = estimates(narrow.where("not failed"))
     row = F.struct(*[col(c) for c in docs.columns]).alias("row")
-    return _judged(_prepared(docs, text_col, lang_col, source_col, [row]), groups, estimate).where("kept").select("row.*")
+    rows = written(_prepared(docs, text_col, lang_col, source_col, [row]), "counts")
+    groups, estimate = estimates(rows.where("not failed"))
+    return _judged(rows, groups, estimate).where("kept").select("row.*")

@@ -91,16 +91,100 @@ def test_estimate_resists_contamination(spark):
     assert np.allclose(sorted(d2), sorted((y * y).sum(axis=0)))
 
 
-def test_determinant_falls_with_each_step(spark):
+def plain_step(x, m, k):
+    """One concentration step in numpy: exact order of distances, the last row by the part that is needed."""
+    d2 = np.einsum("ij,ij->i", x - m, np.linalg.solve(k, (x - m).T).T)
+    w, need = np.zeros(len(x)), quality.SUBSET * len(x)
+    order = np.argsort(d2, kind="stable")
+    w[order[: int(need)]] = 1
+    if need > int(need):
+        w[order[int(need)]] = need - int(need)
+    m = (w[:, None] * x).sum(axis=0) / need
+    c = (w[:, None, None] * (x - m)[:, :, None] * (x - m)[:, None, :]).sum(axis=0) / need
+    return m, quality.consistency() * c + np.diag(np.square(quality.LEAST_SPREAD))
+
+
+def plain_estimate(x, starts=60, seed=1):
+    """The least determinant over many random starts."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        some = x[rng.choice(len(x), size=max(6, len(x) // 10), replace=False)]
+        m, k = some.mean(axis=0), np.cov(some.T, bias=True) + np.diag(np.square(quality.LEAST_SPREAD))
+        last = np.inf
+        for _ in range(60):
+            m, k = plain_step(x, m, k)
+            now = np.linalg.slogdet(k)[1]
+            if last - now < 1e-9:
+                break
+            last = now
+        if best is None or now < best[0]:
+            best = now, m, k
+    return best
+
+
+def groups_of_statistics():
+    """Groups like those of texts: clean ones, mostly zero ones, ones with a cluster apart, ones in two halves."""
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(0.5, 0.3, (500, 4)), rng.normal(2, 0.6, (120, 4))])
-    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "gid string, x0 double, x1 double, x2 double, x3 double")
-    now, dets = quality._start(df), []
-    for _ in range(4):
-        now = quality.written(quality._moments(quality._nearest(df, now, True)), "t")
-        f = now.first().f
-        dets.append(f[0] * f[2] * f[5] * f[9])
-    assert all(b <= a * 1.02 for a, b in zip(dets, dets[1:]))
+    plain = rng.normal([1.6, 0.2, 0.1, 0.1], [0.2, 0.1, 0.1, 0.1], (300, 4))
+    zero = np.abs(rng.normal(0, 0.2, (400, 4))) * (rng.random((400, 4)) < [1.0, 0.1, 0.15, 0.2])
+    apart = np.vstack([rng.normal(0.5, 0.3, (250, 4)), rng.normal(3, 0.3, (60, 4))])
+    halves = np.vstack([rng.normal(0, 0.1, (120, 4)), rng.normal([0.8, 0, 0, 0], 0.1, (100, 4))])
+    skew = rng.normal(0, 1, (200, 1)) * [0.5, 0.4, 0.1, 0.0] + rng.normal(0, 0.05, (200, 4))
+    return [plain, zero, apart, halves, skew]
+
+
+def test_verdicts_against_a_brute_force_estimate(spark):
+    data = groups_of_statistics()
+    rows = [(False, "en", f"s{g}", *map(float, v)) for g, x in enumerate(data) for v in x]
+    df = spark.createDataFrame(rows, "failed boolean, lang string, source string, x0 double, x1 double, x2 double, x3 double").repartition(3)
+    groups, estimate = quality.estimates(df)
+    judged = quality._judged(df, groups, estimate).collect()
+    point, size = quality.chi_square_point(quality.TAIL), {}
+    for r in groups.join(estimate, "gid").collect():
+        f = np.zeros((4, 4))
+        f[np.tril_indices(4)] = r.f
+        size[r.source] = np.linalg.slogdet(f @ f.T)[1]
+    rejected = 0
+    for g, x in enumerate(data):
+        least, m, k = plain_estimate(x)
+        assert size[f"s{g}"] <= least + 0.02, g
+        d2 = np.einsum("ij,ij->i", x - m, np.linalg.solve(k, (x - m).T).T)
+        ours = {(r.x0, r.x1, r.x2, r.x3): r for r in judged if r.source == f"s{g}"}
+        for v, d in zip(x, d2):
+            r = ours[tuple(map(float, v))]
+            assert abs(r.d2 - d) <= 0.05 * d + 0.05, (g, r.d2, d)
+            if abs(d - point) > 0.06 * point:
+                assert r.kept == (d <= point)
+                rejected += not r.kept
+    assert rejected >= 60
+
+
+def test_determinant_never_rises(spark):
+    rows = [(f"g{g}", *map(float, v)) for g, x in enumerate(groups_of_statistics()) for v in x]
+    df = spark.createDataFrame(rows, "gid string, x0 double, x1 double, x2 double, x3 double")
+    now, sizes = quality._starts(df, True), {}
+    for _ in range(5):
+        now = quality.written(quality._moments(quality._nearest(df, now, True)), "t", 1)
+        for r in now.collect():
+            sizes.setdefault((r.gid, r.start), []).append(r.size)
+    assert len(sizes) == 4 * 5
+    # Distances are compared by bins of half a percent.
+    assert all(b <= a + 0.005 for x in sizes.values() for a, b in zip(x, x[1:]))
+
+
+def test_small_groups_are_judged_by_their_language_then_by_all(spark):
+    rng = np.random.default_rng(2)
+    row = lambda lang, source, at: (False, lang, source, *map(float, rng.normal(at, 0.05, 4)))
+    rows = [row("en", "big", 0.5) for _ in range(200)] + [row("en", "few", 0.5) for _ in range(5)] + [row("fr", "few", 0.5) for _ in range(5)]
+    rows += [row("en", "few", 4), row("fr", "few", 4)]
+    df = spark.createDataFrame(rows, "failed boolean, lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    groups, estimate = quality.estimates(df)
+    assert sorted(r.gid for r in groups.collect()) == ['{"level":0,"lang":"en","source":"big"}', '{"level":1,"lang":"en"}', '{"level":2}'] and estimate.count() == 3
+    judged = quality._judged(df, groups, estimate).collect()
+    assert sorted((r.lang, r.source) for r in judged if not r.kept) == [("en", "few"), ("fr", "few")]
+    alone = df.where("lang = 'fr'")
+    groups, estimate = quality.estimates(alone)
+    assert groups.count() == 0 and all(r.kept for r in quality._judged(alone, groups, estimate).collect())
 
 
 def test_chi_square():
