@@ -15,6 +15,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of narrow intermediate tables in one file.
 FILE_ROWS = 200_000
+#: Places of rows, a path and a number each, that are broadcast at most.
+BROADCAST_PLACES = 200_000
 
 
 #: Folder of each application.
@@ -74,6 +77,40 @@ def drop_written(df: DataFrame) -> None:
         system.delete(path, True)
 
 
+def located(docs: DataFrame, label: str = "located") -> DataFrame:
+    """``docs`` as they are, from a place where a row has a file and a number in it that each later read gives again.
+
+    That is the table itself where ``docs`` are a file table just as it was
+    read, else a copy in the shared folder.
+    """
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  asks the analyzer
+    except AnalysisException:
+        plan = ""
+    return docs if plan == "LogicalRelation" else written(docs, label)
+
+
+def location(docs: DataFrame) -> list[Column]:
+    """File and row number of each row of ``located`` documents."""
+    at = docs.metadataColumn("_metadata")
+    return [at["file_path"], at["row_index"]]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``located`` documents but those at the places ``gone(file, row)``, a written table.
+
+    Up to BROADCAST_PLACES places are broadcast, so documents stay where they
+    lie; more are joined like any table, which moves each document once.
+    """
+    file, row = fresh(docs, "file", "row")
+    small = gone.count() <= BROADCAST_PLACES
+    gone = gone.select(F.col("file").alias(file), F.col("row").alias(row))
+    at = [c.alias(n) for c, n in zip(location(docs), (file, row))]
+    every = docs.select(*[col(c) for c in docs.columns], *at)
+    return every.join(F.broadcast(gone) if small else gone, [file, row], "left_anti").select(*[col(c) for c in docs.columns])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have yet."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -6,6 +6,19 @@ both fingerprints share a variant of that segment with one bit blanked out.
 Each distinct fingerprint is therefore indexed under its 64 one-wildcard
 variants (21 + 21 + 22), an equality on the variant brings candidates together
 and a bit count verifies them.
+
+A variant has 20 or 21 free bits, so with N fingerprints about N / 2^20 share
+one.  Up to SPLIT of them (N about 10^11) are compared block against block in
+tasks of their own, a word operation a pair.  Beyond that, the other two
+segments, which differ in four bits or fewer too, are cut into three again, and
+a group is dealt by the one-wildcard variants of those: 13 or 14 more bits.
+
+Similarity 0.8 of sets of shingles is far more than four bits (about a seventh
+of all), which no cut into segments of a useful length can guarantee.  The wide
+form for such links has 256 bits, of which up to WIDE_BITS may differ, and
+indexes one-wildcard variants of six short segments, each together with the
+least of a hash of the shingles: what makes a key selective is the least hash,
+and what splits the documents that share a frequent passage is the segment.
 """
 
 from __future__ import annotations
@@ -19,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.llm.common import col, fresh, written
+from sparkfolio.llm.common import col, drop_written, located, location, without, written
 from sparkfolio.llm.components import stars
 
 SEED = 42
@@ -29,36 +42,81 @@ MAX_BITS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Members of one variant that are compared in one task; more are dealt out as pairs of blocks.
 BLOCK = 2048
+#: Members of one variant that are compared at all; more are dealt by variants of the other segments first.
+SPLIT = 1 << 17
+#: The wide form: words in a shingle, 64-bit words of a fingerprint, bits that may differ (the share at a similarity
+#: of 0.8 is 0.152 of them or 39, with a deviation of 6; at 0.7 it is 49, at 0.5 it is 69), segments that are indexed and their width.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BITS, BANDS, BAND_BITS = 5, 4, 48, 6, 8
 #: Groups up to this size are compared by shifts over the sorted batch.
 SMALL_GROUP = 8
 _STEP = 1 << 16
+#: Keys from here on are of groups that were dealt once more.
+_DEALT = 1 << 28
 
 
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """The unsigned fingerprint of one UTF-8 text; zero if it has no word.
-
-    A-Z are lower-cased, words are split at ASCII white space, shingles count
-    with their repeats and a text of fewer words is one shingle.
-    """
+def _shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of one UTF-8 text, by up to _STEP of them; none for a text without a word."""
     parts = (text or b"").lower().split()
     n = len(parts)
     if not n:
-        return 0
+        return
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if n <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        yield np.array([digest(joined, SEED)], dtype=np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=n) + 1)
     starts = np.concatenate(([0], ends[: n - words])).tolist()
     stops = (ends[words - 1 :] - 1).tolist()
     del parts
-    digest, votes, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(starts)
-    for k in range(0, total, _STEP):
-        h = [digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _STEP], stops[k : k + _STEP])]
-        bits = np.unpackbits(np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
+    for k in range(0, len(starts), _STEP):
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _STEP], stops[k : k + _STEP])], dtype=np.uint64)
+
+
+def _votes(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
+    """The unsigned fingerprint of one UTF-8 text; zero if it has no word.
+
+    A-Z are lower-cased, words are split at ASCII white space, shingles count
+    with their repeats and a text of fewer words is one shingle.
+    """
+    votes, total = np.zeros(64, dtype=np.int64), 0
+    for h in _shingle_hashes(text, words):
+        votes, total = votes + _votes(h), total + len(h)
     return int(np.packbits(2 * votes > total, bitorder="little").view("<u8")[0])
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes made from one."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the set of five-word shingles: WIDE_WORDS words of majority bits, and the least of BANDS hashes.
+
+    Both are zero for a text without a word.  Repeats of a shingle count once.
+    """
+    parts = list(_shingle_hashes(text, WIDE_SHINGLE))
+    if not parts:
+        return np.zeros(WIDE_WORDS, dtype=np.uint64), np.zeros(BANDS, dtype=np.uint64)
+    h = np.unique(np.concatenate(parts))
+    del parts
+    votes, least = np.zeros((WIDE_WORDS, 64), dtype=np.int64), np.full(BANDS, 2**64 - 1, dtype=np.uint64)
+    for k in range(0, len(h), _STEP):
+        some = h[k : k + _STEP]
+        for w in range(WIDE_WORDS):
+            votes[w] += _votes(_mixed(some, w))
+        least = np.minimum(least, [_mixed(some, WIDE_WORDS + b).min() for b in range(BANDS)])
+    return np.packbits(2 * votes > len(h), axis=1, bitorder="little").view("<u8").reshape(-1), least
+
+
 @F.arrow_udf(T.LongType())
 def fingerprint_udf(texts: pa.Array) -> pa.Array:
     """Fingerprints as signed 64-bit integers of the same bits."""
@@ -66,6 +124,18 @@ def fingerprint_udf(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(x) for x in raw], dtype=np.uint64).view(np.int64))
 
 
+_WIDE = T.StructType([T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("least", T.ArrayType(T.LongType()))])
+
+
+@F.arrow_udf(_WIDE)
+def wide_udf(texts: pa.Array) -> pa.Array:
+    """The wide form of each text."""
+    found = [wide_fingerprint(x) for x in texts.cast(pa.large_binary()).to_pylist()]
+    fp = pa.array([x.view(np.int64) for x, _ in found], pa.list_(pa.int64()))
+    least = pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([fp, least], ["fp", "least"])
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """``(key, fp)``: 64 rows per fingerprint, the key naming variant and segment value."""
     out, v = [], 0
@@ -73,11 +143,43 @@ def variants(fps: DataFrame) -> DataFrame:
         part = F.shiftrightunsigned(F.col("fp"), offset).bitwiseAND((1 << width) - 1)
         for bit in range(width):
             kept = part.bitwiseAND(((1 << width) - 1) ^ (1 << bit))
-            out.append((kept + F.lit(v << 22)).cast("int"))
+            out.append((kept + F.lit(v << 22)).cast("long"))
             v += 1
     return fps.select(F.explode(F.array(*out)).alias("key"), "fp")
 
 
+def _sub_segments(segment: int) -> list[list[int]]:
+    """The bits of the other two segments, cut into three."""
+    bits = [b for k, (offset, width) in enumerate(SEGMENTS) if k != segment for b in range(offset, offset + width)]
+    third = -(-len(bits) // 3)
+    return [bits[k : k + third] for k in range(0, len(bits), third)]
+
+
+def _sub_variants(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, fp)`` of a large group dealt once more, by the one-wildcard variants of its other segments.
+
+    The new key has the variant's number and value above the old key's bits, so
+    two members that differ in four bits or fewer share one of them.
+    """
+    keys, fps, v = [], [], 0
+    starts = np.cumsum([0] + [width for _, width in SEGMENTS])
+    for segment in range(len(SEGMENTS)):
+        number = key >> 22
+        mine = (number >= starts[segment]) & (number < starts[segment + 1])
+        if not mine.any():
+            continue
+        x, old, v = fp[mine], key[mine], 0
+        for bits in _sub_segments(segment):
+            value = np.zeros(len(x), dtype=np.int64)
+            for k, b in enumerate(bits):
+                value |= (x >> np.uint64(b) & np.uint64(1)).astype(np.int64) << k
+            for k in range(len(bits)):
+                keys.append(old | (value & ~(1 << k)) << 28 | np.int64(v) << 44)
+                fps.append(x)
+                v += 1
+    return np.concatenate(keys), np.concatenate(fps)
+
+
 def _first_variant(x: np.ndarray) -> np.ndarray:
     """The lowest variant that two fingerprints with exclusive-or ``x`` share."""
     best, v = np.full(len(x), 255, dtype=np.int64), 0
@@ -117,7 +219,7 @@ def _small_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         x = fp[at] ^ fp[at + d]
         ok = np.bitwise_count(x) <= MAX_BITS
-        ok[ok] = _first_variant(x[ok]) == (key[at][ok] >> 22)
+        ok[ok] = (_first_variant(x[ok]) == (key[at][ok] >> 22)) | (key[at][ok] >= _DEALT)
         a.append(fp[at[ok]])
         b.append(fp[at[ok] + d])
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
@@ -128,14 +230,14 @@ def _rows(a=(), b=(), key=None, block=None) -> pa.RecordBatch:
     signed = lambda x: np.asarray(x, dtype=np.uint64).view(np.int64)
     n = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(signed(a)), pa.array(signed(b)) if key is None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()) if key is None else pa.array(np.full(n, key, dtype=np.int32)), pa.nulls(n, pa.int32()) if key is None else pa.array(np.asarray(block, dtype=np.int32))],
+        [pa.array(signed(a)), pa.array(signed(b)) if key is None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()) if key is None else pa.array(np.full(n, key, dtype=np.int64)), pa.nulls(n, pa.int32()) if key is None else pa.array(np.asarray(block, dtype=np.int32))],
         ["a", "b", "key", "block"],
     )
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each key of a partition sorted by key, in bounded memory."""
-    key, fp = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint64)
+    key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     hot, sent = None, 0  # the large group that is being passed on
 
     def groups(key, fp):
@@ -205,16 +307,38 @@ def _block_pairs(hot: DataFrame) -> DataFrame:
     )
     pairs = pairs.select("key", F.least("o", "block").alias("i"), F.greatest("o", "block").alias("j"), "block", "fp")
     dealt = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a bigint, b bigint, key int, block int").select("a", "b")
+    return dealt.mapInArrow(compare, "a bigint, b bigint, key bigint, block int").select("a", "b")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(k, BLOCK)
+            key, fp = _sub_variants(part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64))], ["key", "fp"])
+
+
+def _found(index: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Links of an index, and the members of its large groups, if there are any."""
+    placed = index.repartition("key").sortWithinPartitions("key")
+    found = written(placed.mapInArrow(_candidates, "a bigint, b bigint, key bigint, block int"), "links", rows)
+    hot = found.where("key is not null")
+    return found.where("key is null").select("a", "b"), hot, not hot.isEmpty()
 
 
 def links(fps: DataFrame, rows: int = 0) -> DataFrame:
     """``(a, b)`` links that connect what all links among the distinct ``fps(fp)`` connect; ``rows``: about how many there are."""
-    index = variants(fps).repartition("key").sortWithinPartitions("key")
-    found = written(index.mapInArrow(_candidates, "a bigint, b bigint, key int, block int"), "links", rows)
-    plain = found.where("key is null").select("a", "b")
-    hot = found.where("key is not null")
-    return plain if hot.isEmpty() else plain.unionAll(_block_pairs(hot))
+    plain, hot, some = _found(variants(fps), rows)
+    if not some:
+        return plain
+    size = hot.groupBy("key").agg(F.max("block").alias("last"))
+    vast = size.where(F.col("last") >= SPLIT // BLOCK)
+    if not vast.isEmpty():
+        members = hot.join(vast, "key", "left_semi").select("key", F.col("a").alias("fp"))
+        hot = hot.join(vast, "key", "left_anti")
+        more, left, some = _found(members.mapInArrow(_dealt, "key bigint, fp bigint"), rows)
+        plain = plain.unionAll(more).unionAll(_block_pairs(left)) if some else plain.unionAll(more)
+    return plain.unionAll(_block_pairs(hot))
 
 
 def classes(fingerprints: DataFrame) -> DataFrame:
@@ -256,20 +380,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each component left, columns unchanged.
+def _near(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which rows of ``fp`` (by 64-bit words) are within WIDE_BITS of ``other``."""
+    return np.bitwise_count(fp ^ other).sum(axis=1) <= WIDE_BITS
+
+
+def _wide_forest(node: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
+    """Links that span what all links within one group connect."""
+    a, b, left = [], [], np.arange(len(node))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = _near(fp[left], fp[at])
+            if near.any():
+                found, left = left[near], left[~near]
+                a += [node[at]] * len(found)
+                b += node[found].tolist()
+                queue += found.tolist()
+    return a, b
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE_WORDS)
+
+
+_FOUND = "a bigint, b bigint, key bigint, block int, fp array<bigint>"
+
+
+def _wide_rows(a=(), b=(), key=None, block=None, fp=None) -> pa.RecordBatch:
+    """A link when ``key`` is null, else a member of a large group, its block and its fingerprint."""
+    n = len(a)
+    null = lambda t: pa.nulls(n, t)
+    longs = lambda x: pa.array(np.asarray(x, dtype=np.int64))
+    rest = [longs(b), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int64()))] if key is None else [
+        null(pa.int64()), longs(np.full(n, key)), pa.array(np.asarray(block, dtype=np.int32)), pa.array(list(fp.view(np.int64)), pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays([longs(a), *rest], ["a", "b", "key", "block", "fp"])
+
+
+def _wide_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each key of a partition sorted by key; groups of more than BLOCK members are passed on in blocks."""
+    now, sent = None, 0
+    node, fp = np.zeros(0, np.int64), np.zeros((0, WIDE_WORDS), np.uint64)
+
+    def ended():
+        if sent:
+            yield _wide_rows(node, key=now, block=(sent + np.arange(len(node))) // BLOCK, fp=fp)
+        elif len(node) > 1:
+            a, b = _wide_forest(node, fp)
+            if a:
+                yield _wide_rows(a, b)
 
-    The row with the smallest id stays (a null id is last, ties go by a hash
-    of the whole row; rows equal in every column count once).
+    for batch in batches:
+        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        words = _words(batch.column(2))
+        cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+        for s, e in zip(cut, cut[1:]):
+            if keys[s] != now:
+                yield from ended()
+                now, sent, node, fp = keys[s], 0, node[:0], fp[:0]
+            node, fp = np.concatenate([node, nodes[s:e]]), np.concatenate([fp, words[s:e]])
+            if len(node) > BLOCK:
+                yield _wide_rows(node, key=now, block=(sent + np.arange(len(node))) // BLOCK, fp=fp)
+                sent, node, fp = sent + len(node), node[:0], fp[:0]
+    yield from ended()
+
+
+def _wide_block_pairs(hot: DataFrame) -> DataFrame:
+    """Links within large groups: each two blocks of one are compared in a task of their own."""
+
+    def compare(batches):
+        now, nodes, words = None, [], []
+
+        def done():
+            if now is not None:
+                a, b = _wide_forest(np.concatenate(nodes), np.concatenate(words))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            ids = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cut = [0, *(np.flatnonzero((np.diff(ids) != 0).any(axis=0)) + 1).tolist(), ids.shape[1]] if ids.shape[1] else []
+            node, fp = batch.column(3).to_numpy(), _words(batch.column(4))
+            for s, e in zip(cut, cut[1:]):
+                if (this := tuple(ids[:, s].tolist())) != now:
+                    yield from done()
+                    now, nodes, words = this, [], []
+                nodes.append(node[s:e])
+                words.append(fp[s:e])
+        yield from done()
+
+    last = hot.groupBy("key").agg(F.max("block").alias("last"))
+    pairs = hot.join(last, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("o"), "block", F.col("a").alias("node"), "fp", "last")
+    pairs = pairs.where("o <> block or last = 0")
+    pairs = pairs.select("key", F.least("o", "block").alias("i"), F.greatest("o", "block").alias("j"), "node", "fp")
+    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint")
+
+
+def wide_variants(nodes: DataFrame) -> DataFrame:
+    """``(key, node, fp)``: BANDS times BAND_BITS rows per ``nodes(node, fp, least)``."""
+    out = []
+    # A segment lies within one 64-bit word, so that its bits are a shift away.
+    per = 64 // BAND_BITS
+    for band in range(BANDS):
+        part = F.shiftrightunsigned(F.col("fp")[band // per], BAND_BITS * (band % per)).bitwiseAND((1 << BAND_BITS) - 1)
+        for bit in range(BAND_BITS):
+            kept = part.bitwiseAND(((1 << BAND_BITS) - 1) ^ (1 << bit))
+            out.append(F.xxhash64(F.col("least")[band], kept, F.lit(band * BAND_BITS + bit)))
+    return nodes.select(F.explode(F.array(*out)).alias("key"), "node", "fp")
+
+
+def wide_classes(narrow: DataFrame) -> DataFrame:
+    """``(fp, root)`` per distinct wide fingerprint of ``narrow(fp, least)``; ``root`` names its class."""
+    nodes = narrow.groupBy("fp").agg(F.min("least").alias("least")).select(F.monotonically_increasing_id().alias("node"), "fp", "least")
+    nodes = written(nodes, "nodes")
+    rows = nodes.count()
+    index = wide_variants(nodes).repartition("key").sortWithinPartitions("key")
+    found = written(index.mapInArrow(_wide_candidates, _FOUND), "links", rows)
+    hot = found.where("key is not null")
+    plain = found.where("key is null").select("a", "b")
+    star = stars(plain if hot.isEmpty() else plain.unionAll(_wide_block_pairs(hot)), rows)
+    out = nodes.join(star, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    out = written(out, "classes", rows)
+    drop_written(found)
+    drop_written(star)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each class of near duplicates left, columns unchanged.
+
+    Texts link by the wide form: sets of five-word shingles with a similarity
+    of about 0.8 or more.  The row with the smallest id stays (a null id is
+    last; of equal ids, and of rows equal in every column, the one that lies
+    first).  Rows are told apart by their place, never by what is in them, so
+    any column types will do; texts are read twice and not shuffled unless more
+    than BROADCAST_PLACES rows go.  An empty table gives an empty one.
     """
-    row = F.xxhash64(*[col(c) for c in docs.columns])
-    narrow = written(
-        docs.select(col(id_col).alias("id"), row.alias("row"), fingerprint_udf(col(text_col)).alias("fp")),
-        "fingerprints",
-    )
-    best = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "row"))
-    reps = narrow.groupBy("fp").agg(best.alias("best"))
-    star = reps.join(classes(narrow), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    (tag,) = fresh(docs, "row_hash")
-    keep = star.select(F.col("best.row").alias(tag)).distinct()
-    return docs.select("*", row.alias(tag)).join(keep, tag, "left_semi").dropDuplicates([tag]).drop(tag)
+    docs = located(docs)
+    file, row = location(docs)
+    wide = wide_udf(col(text_col))
+    narrow = docs.select(col(id_col).alias("id"), file.alias("file"), row.alias("row"), wide.alias("w"))
+    narrow = written(narrow.select("id", "file", "row", "w.fp", "w.least"), "fingerprints")
+    named = written(narrow.join(wide_classes(narrow), "fp").select("id", "file", "row", "root"), "members")
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "file", "row")
+    best = named.groupBy("root").agg(F.min(place).alias("best"))
+    gone = named.join(best, "root").where(place != F.col("best")).select("file", "row")
+    return without(docs, written(gone, "gone"))

@@ -119,16 +119,112 @@ def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
     assert len(pairs) < 12 * len(fps)
 
 
-def test_drop_keeps_one_row_each(spark):
-    rows = corpus()
-    docs = spark.createDataFrame([(i, t, "f", "r", 1) for i, t in rows], SCHEMA).repartition(3)
+def test_vast_groups_are_dealt_once_more(spark, monkeypatch):
+    """Every link of a group is found by the variants of the other segments."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 3000:
+        x = rng.choice(sorted(fps)[-50:]) if rng.random() < 0.5 else base ^ (rng.getrandbits(43) << 21)
+        for _ in range(rng.randint(1, 4)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    monkeypatch.setattr(simhash, "BLOCK", 32)
+    monkeypatch.setattr(simhash, "SPLIT", 64)
+    df = spark.createDataFrame([(i, int(np.uint64(x).view(np.int64))) for i, x in enumerate(sorted(fps))], "id long, fp long")
+    got = {r.fp: r.first_id for r in simhash.classes(df).collect()}
+    a = np.array(sorted(fps), dtype=np.uint64)
+    labels = np.arange(len(a))
+    while True:
+        new = np.minimum(np.array([labels[np.bitwise_count(a ^ x) <= 4].min() for x in a]), labels)
+        if (new == labels).all():
+            break
+        labels = new
+    assert [got[int(x.view(np.int64))] for x in a] == labels.tolist()
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def plain_wide(text):
+    """The wide fingerprint, a number and a bit at a time."""
+    m = 2**64 - 1
+    hs, out = [xxhash.xxh64_intdigest(g.encode(), 42) for g in shingles(text)], []
+    for k in range(4):
+        mixed = []
+        for h in hs:
+            x = (h + 0x9E3779B97F4A7C15 * (k + 1)) & m
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m
+            mixed.append(x ^ (x >> 31))
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return out
+
+
+def near_corpus():
+    """Texts, and copies of them in which some words are changed, dropped or added."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    passage = " ".join(rng.choice(vocab) for _ in range(60))
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(30, 300))) for _ in range(150)]
+    texts += [" ".join(rng.choice(vocab) for _ in range(150)) + " " + passage for _ in range(60)]
+    for t in texts[:120]:
+        for _ in range(2):
+            w = t.split()
+            for _ in range(max(1, len(w) // rng.choice([30, 60, 100]))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    return texts + [texts[0]] * 3 + [None, "", " ", "one", "one two three", "long " * 30000]
+
+
+def test_drop_keeps_one_row_of_each_class(spark):
+    texts = near_corpus()
+    rows = [(i * 7 % 1000, t, "f", {"k": i % 2}, 1) for i, t in enumerate(texts)] + [(None, texts[5], None, {"k": 1}, None), (3000, "orphan", None, None, 2), (3000, "orphan", None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, file string, row map<string,int>, n int").repartition(3)
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns
-    fps = [int(plain_fingerprint(r.text)) for r in left.collect()]
-    for i, x in enumerate(fps):
-        assert all((x ^ y).bit_count() > 4 for y in fps[:i])
-    want = {r[2] for r in plain_components(rows)}
-    assert {r.doc_id for r in left.collect()} == want
+    kept = {r.doc_id for r in left.collect()}
+    sets, words = [shingles(t) for _, t, *_ in rows], [plain_wide(t) for _, t, *_ in rows]
+    near = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(words[i], words[j])) <= simhash.WIDE_BITS
+    gone = [i for i, r in enumerate(rows) if r[0] not in kept]
+    # Nothing goes without a reason, and every copy of a text of smaller id does.
+    for i in gone:
+        assert any(near(i, j) for j in range(len(rows)) if j != i) and max(jaccard(sets[i], sets[j]) for j in range(len(rows)) if j != i) > 0.55
+    assert None not in kept and 3000 in kept and left.where("doc_id = 3000").count() == 1
+    pairs = [(i, j, jaccard(sets[i], sets[j])) for i in range(len(rows)) for j in range(i)]
+    similar = [(i, j, x) for i, j, x in pairs if x >= 0.8]
+    both = [x for i, j, x in similar if rows[i][0] in kept and rows[j][0] in kept and i != j and rows[i][0] != rows[j][0]]
+    assert len(similar) > 150 and len(both) <= 0.05 * len(similar) and all(x < 0.85 for x in both)
+
+
+def test_wide_blocks_lose_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [0]
+
+
+def test_documents_of_a_file_stay_where_they_are(spark, tmp_path):
+    rows = [(i, f"text {i % 30} of some words that are all alike", None if i % 2 else "s") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert simhash.located(docs) is docs and simhash.located(docs.where("doc_id > 3")) is not docs
+    left = simhash.drop_near_duplicates(docs)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(30))
+    assert "Exchange hashpartitioning(text" not in left._jdf.queryExecution().toString()
 
 
 def test_empty_table(spark):
