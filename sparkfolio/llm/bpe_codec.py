@@ -36,8 +36,12 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 CHUNK_CHARS, CHUNK_WORDS = 32_000_000, 400_000
 #: Positions of one stored sequence.
 STREAM = 1 << 20
-#: Parts by which words are dealt, for each shuffle partition; the least and most parts.
-PARTS, PART_RANGE = 4, (64, 1 << 16)
+#: Characters of the input for each part by which words are dealt, and the least and most parts.
+PART_CHARS, PART_RANGE = 8_000_000, (64, 1 << 12)
+#: Distinct words of a part that are remembered; a part with more encodes some of them again.
+REMEMBERED = 1_000_000
+#: Packed bytes that one task of a shuffle reads, about.
+TASK_BYTES = 32_000_000
 #: No byte of UTF-8, so it can stand between words.
 _BETWEEN = b"\xff"
 
@@ -166,18 +170,19 @@ _IDS_ROW, _PARTS_ROW = -2, -1
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Ids of words that come sorted by part: each distinct word is encoded once and joins every chunk that has it."""
-    single, last = encoding(path)._encode_single_piece, None
+    single, last = encoding(path).encode_ordinary, None
     known: dict[bytes, list[int]] = {}
     for batch in batches:
         chunks, parts, packs = batch.column(0), batch.column(1).to_pylist(), []
         for part, packed in zip(parts, batch.column(2)):
-            if part != last:
+            if part != last or len(known) > REMEMBERED:
                 last, known = part, {}
             found = []
             for word in zstandard.decompress(packed.as_py()).split(_BETWEEN):
                 ids = known.get(word)
                 if ids is None:
-                    ids = known[word] = single(word)
+                    # A word is one match of the pattern, and so it is by itself.
+                    ids = known[word] = single(word.decode())
                 found.append(ids)
             packs.append(_pack(np.array([len(found), *map(len, found), *itertools.chain.from_iterable(found)])))
         yield pa.RecordBatch.from_arrays([chunks, batch.column(1), pa.array(packs, pa.binary())], ["chunk", "part", "packed"])
@@ -233,16 +238,6 @@ def _assembled(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.ListArray.from_arrays(pa.array(stop), flat)], ["id", "ids"])
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    flat, start, length = token_bytes(path)
-    for batch in batches:
-        ids = batch.column(1)
-        values = ids.values.to_numpy(zero_copy_only=False)
-        stop = ids.offsets.to_numpy()
-        out = [gathered(flat, start, length, values[a:b]).tobytes() for a, b in zip(stop[:-1], stop[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.binary())], ["id", "ids", "decoded"])
-
-
 def _arrow_type(docs: DataFrame, id_col: str) -> tuple[T.DataType, pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -250,21 +245,23 @@ def _arrow_type(docs: DataFrame, id_col: str) -> tuple[T.DataType, pa.DataType]:
     return kind, to_arrow_type(kind)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``id`` and ``ids array<int>`` per row of ``docs``; with ``decoded`` also the bytes that ``ids`` stand for.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and ``ids array<int>`` per row of ``docs``.
 
     Special tokens are not recognised: their strings are ordinary text.  A
     null text is an empty one and has no ids.  Rows are told apart by place,
     so repeated rows and repeated or null ids come back as often as they came.
-    An empty table gives an empty one.
+    The parts that words are dealt by grow with the characters of the input, the
+    partitions of both shuffles with the packed bytes, so what a task reads and
+    remembers does not.  An empty table gives an empty one.
     """
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
     kind, arrow = _arrow_type(docs, id_col)
     name = kind.simpleString()
-    per = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(max(per, PART_RANGE[0]), PART_RANGE[1])
+    chars = docs.agg(F.sum(F.length(col(text_col).cast("string")))).first()[0] or 0
+    parts = min(max(chars // PART_CHARS, PART_RANGE[0]), PART_RANGE[1])
     chunks = written(
         docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(
             lambda it: _chunks(it, splitter(pattern), arrow, parts),
@@ -272,15 +269,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ),
         "chunks",
     )
-    words = chunks.where("part is not null").select("chunk", "part", "packed").repartition("part").sortWithinPartitions("part")
+    is_word = F.col("part").isNotNull()
+    size = lambda of: F.coalesce(F.sum(F.when(of, F.octet_length("packed"))), F.lit(0))
+    of_words, of_rest, n = chunks.agg(size(is_word), size(~is_word), F.count_distinct("chunk")).first()
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda size, most: max(1, min(most, max(least, -(-size // TASK_BYTES))))
+    words = chunks.where(is_word).select("chunk", "part", "packed").repartition(tasks(of_words, parts), "part").sortWithinPartitions("part")
     encoded = words.mapInArrow(lambda it: _encoded(it, path), "chunk long, part int, packed binary")
     nothing = lambda t: F.lit(None).cast(t)
     joined = encoded.select("chunk", F.lit(_IDS_ROW).alias("first"), "part", "packed", nothing(f"array<{name}>").alias("ids"), nothing("array<int>").alias("lens")).unionAll(
         chunks.where("part is null").select("chunk", "first", "part", "packed", "ids", "lens")
     )
-    placed = joined.repartition("chunk").sortWithinPartitions("chunk", "first")
-    if decoded:
-        return placed.mapInArrow(lambda it: _decoded(_assembled(it, arrow), path), f"id {name}, ids array<int>, decoded binary")
+    placed = joined.repartition(tasks(of_words + of_rest, n), "chunk").sortWithinPartitions("chunk", "first")
     return placed.mapInArrow(lambda it: _assembled(it, arrow), f"id {name}, ids array<int>")
 
 
@@ -294,7 +294,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     @F.arrow_udf(T.BinaryType())
     def of(ids: pa.Array) -> pa.Array:
         flat, start, length = token_bytes(path)
-        out = [None if x is None else gathered(flat, start, length, np.array(x, dtype=np.int64)).tobytes() for x in ids.to_pylist()]
+        stop, values, null = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), ids.is_null().to_pylist()
+        out = [None if n else gathered(flat, start, length, values[a:b]).tobytes() for n, a, b in zip(null, stop, stop[1:])]
         return pa.array(out, pa.binary())
 
     (name,) = fresh(encoded, "decoded")
@@ -303,7 +304,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, encoded and decoded."""
-    both = encode(docs, path, id_col, text_col, decoded=True)
+    both = decode(encode(docs, path, id_col, text_col), path)
     return both.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

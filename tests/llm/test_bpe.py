@@ -64,11 +64,63 @@ def test_small_chunks_and_continued_texts(docs, monkeypatch):
     sorted_rows.sort(key=lambda r: r[:2])
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     fed = pa.RecordBatch.from_arrays([pa.array([r[k] for r in sorted_rows], t) for k, t in enumerate(types)], list("abcdef"))
-    out = list(bpe_codec._decoded(bpe_codec._assembled(iter([fed.slice(0, 11), fed.slice(11)]), pa.int64()), MULTI))
-    got = {i: (ids, d) for b in out for i, ids, d in zip(*(x.to_pylist() for x in b.columns))}
+    out = list(bpe_codec._assembled(iter([fed.slice(0, 11), fed.slice(11)]), pa.int64()))
+    got = dict(zip((i for b in out for i in b.column(0).to_pylist()), (x for b in out for x in b.column(1).to_pylist())))
     enc = bpe_codec.encoding(MULTI)
     assert len({r[0] for r in sorted_rows}) > 3
-    assert got == {i: (enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows}
+    assert got == {i: enc.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_packed_numbers_at_their_limits():
+    import numpy as np
+
+    short, long = bpe_codec.SHORT, bpe_codec.LONG
+    edges = [0, 1, short - 1, short, short + 1, short + (1 << 14) - 1, short + (1 << 14), long - 1, long, long + 1, 2**32 - 1]
+    rng = random.Random(1)
+    for values in ([], edges, edges[::-1], [2**32 - 1] * 9, [rng.choice(edges) for _ in range(5000)], list(range(70000))):
+        assert bpe_codec._unpack(bpe_codec._pack(np.array(values, dtype=np.int64))).tolist() == values
+
+
+def test_chunks_end_at_their_bounds(monkeypatch):
+    import pyarrow as pa
+
+    class Here:
+        partitionId = staticmethod(lambda: 1)
+
+    monkeypatch.setattr(bpe_codec.TaskContext, "get", staticmethod(lambda: Here))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(["ab cd", None, "ab", "", "x y z", "ab"])], ["doc_id", "text"])
+    run = lambda: pa.Table.from_batches(bpe_codec._chunks(iter([batch]), bpe_codec.splitter(P.PATTERN), pa.int64(), 3)).to_pylist()
+    whole = run()
+    assert {r["chunk"] for r in whole} == {1 << 32} and [r["ids"] for r in whole if r["ids"]] == [[0, 1, 2, 3, 4, 5]]
+    assert [r["lens"] for r in whole if r["first"] == -1] == [[1]]  # "ab" is the only word that comes twice
+    monkeypatch.setattr(bpe_codec, "CHUNK_CHARS", 5)
+    assert [r["ids"] for r in run() if r["ids"]] == [[0], [1, 2, 3, 4], [5]]
+    monkeypatch.setattr(bpe_codec, "CHUNK_CHARS", 10**9)
+    monkeypatch.setattr(bpe_codec, "CHUNK_WORDS", 2)
+    assert [r["ids"] for r in run() if r["ids"]] == [[0], [1, 2, 3, 4], [5]]
+    monkeypatch.setattr(bpe_codec, "STREAM", 1)
+    assert [r["lens"] for r in run() if r["ids"]][:2] == [[-2], [1]]
+
+
+def test_words_that_are_forgotten_are_encoded_again(docs, monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(bpe_codec, "REMEMBERED", 1)
+    packs = [zstandard.compress(b"\xff".join(w)) for w in ([b"the", b" and"], [b" and", b"xyzzy"], [b"the"])]
+    fed = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array(packs, pa.binary())], ["chunk", "part", "packed"])
+    (out,) = bpe_codec._encoded(iter([fed]), MULTI)
+    enc = bpe_codec.encoding(MULTI).encode_ordinary
+    for got, words in zip(out.column(2).to_pylist(), (["the", " and"], [" and", "xyzzy"], ["the"])):
+        ids = [enc(w) for w in words]
+        assert bpe_codec._unpack(got).tolist() == [len(words), *map(len, ids), *[i for x in ids for i in x]]
+
+
+def test_each_match_is_one_by_itself():
+    """What lets a distinct word be encoded alone by the library's public call."""
+    split = bpe_codec.splitter(P.PATTERN)
+    for t in texts():
+        assert all(split(w) == [w] for w in set(split(t or "")))
 
 
 def test_decode_alone(spark):
