@@ -52,6 +52,23 @@ class StaticTranslator:
         return self.known.get(text, f"{self.prefix}{text}")
 
 
+@dataclass(frozen=True)
+class RefusingTranslator(StaticTranslator):
+    """Fails on texts that hold ``mark``, each time it is asked."""
+
+    mark: str = ""
+
+    def __init__(self, mark: str, again: bool = False) -> None:
+        super().__init__()
+        object.__setattr__(self, "mark", mark)
+        object.__setattr__(self, "again", again)
+
+    def translate(self, text: str, target: str, before: str | None = None, after: str | None = None) -> str:
+        if self.mark in text:
+            raise TranslationError("refused", self.again)
+        return super().translate(text, target, before, after)
+
+
 @dataclass(frozen=True)
 class StaticRecognizer:
     """Recognises what it has been told, by the SHA-256 of the content."""

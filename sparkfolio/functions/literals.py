@@ -9,23 +9,26 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from sparkfolio import fixed
 from sparkfolio.thresholds import T
 
 _LITERAL = re.compile(
-    r"""
-    (?<![A-Za-z0-9])\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?![A-Za-z0-9])      # a date
+    rf"""
+    (?<![A-Za-z0-9])\d{{1,4}}[-/.]\d{{1,2}}[-/.]\d{{1,4}}(?![A-Za-z0-9])      # a date
   | (?:[<>≤≥=±]\s*)?\d[\d,]*(?:\.\d+)?\s?(?:%|‰|°C|℃|(?:mg|kg|g|ml|l|mm|cm|m|km|h|min|s|V|A|W|Hz)(?![A-Za-z]))   # a quantity
   | (?<![A-Za-z0-9])[A-Za-z]*\d[A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+(?![A-Za-z0-9])  # a code with a digit first
   | (?<![A-Za-z0-9])[A-Za-z]+[-_/][A-Za-z]*\d[A-Za-z0-9]*(?![A-Za-z0-9])          # a code with letters first
-  | (?<![A-Za-z0-9])[A-Z]{2,8}(?![A-Za-z0-9])                          # an acronym
+  | (?<![A-Za-z0-9])[A-Z]{{2,8}}(?![A-Za-z0-9])                          # an acronym
   | (?<![A-Za-z0-9])[A-Za-z]\s?=\s?[A-Za-z0-9+\-*/^.]+                 # a formula
-  | (?<=[㐀-鿿])[A-Z](?![A-Za-z])                            # a single capital after a Chinese character
+  | {fixed.FORMULA_IN_TEXT}                                            # a chemical formula
+  | {fixed.CAPITAL_AFTER_HAN}                                          # a single capital after a Chinese character
   | \d[\d,]*(?:\.\d+)?                                                 # a number
     """,
     re.VERBOSE,
@@ -33,6 +36,7 @@ _LITERAL = re.compile(
 #: A plain number without surroundings, for engines that know no lookaround.
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 _SLOT = re.compile(r"\[\[\d+\]\]")
+_CLAUSE = re.compile(rf"[^{fixed.CLAUSE_MARKS}]*[{fixed.CLAUSE_MARKS}]+\s*|[^{fixed.CLAUSE_MARKS}]+$")
 # Full-width, lenticular, spaced and single brackets; what follows a bar inside is ignored.
 _LOOSE = re.compile(r"(?:[\[［【]\s*){1,2}(\d+)\s*(?:\|[^\]］】]*)?(?:\s*[\]］】]){1,2}")
 
@@ -40,7 +44,7 @@ _LOOSE = re.compile(r"(?:[\[［【]\s*){1,2}(\d+)\s*(?:\|[^\]］】]*)?(?:\s*[\]
 def literals(text: str | None, known: frozenset[str] | None = None) -> list[str]:
     """The literals in order; with ``known`` all-caps words stay text unless they are among them."""
     found = [m[0] for m in _LITERAL.finditer(text or "")]
-    return [x for x in found if known is None or not re.fullmatch("[A-Z]{2,8}", x) or x in known]
+    return [x for x in found if known is None or not re.fullmatch("[A-Z]{2,}", x) or x in known]
 
 
 def mask(text: str | None, known: frozenset[str] | None = None) -> tuple[str, list[str]]:
@@ -52,7 +56,7 @@ def mask(text: str | None, known: frozenset[str] | None = None) -> tuple[str, li
         return f"[[{len(out) - 1}]]"
 
     def literal(m: re.Match) -> str:
-        plain = known is not None and re.fullmatch("[A-Z]{2,8}", m[0]) and m[0] not in known
+        plain = known is not None and re.fullmatch("[A-Z]{2,}", m[0]) and m[0] not in known
         return m[0] if plain else slot(m[0])
 
     pieces, at = [], 0
@@ -73,26 +77,29 @@ def restore(masked: str | None, values: list[str]) -> tuple[str | None, str | No
     A slot that is missing is made good if its value stands in the text as
     often as literals of that value are missing.
     """
-    seen: list[int] = []
-
-    def put(m: re.Match) -> str:
-        n = int(m[1])
-        if n >= len(values):
-            return m[0]
-        seen.append(n)
-        return f"\x00{n}\x00"
-
-    text = _LOOSE.sub(put, masked or "")
-    doubled = sorted({n for n in seen if seen.count(n) > 1})
-    if doubled:
-        return None, f"doubled:{doubled[0]}"
-    if _LOOSE.search(text):
+    said, pieces, seen, unknown, at = masked or "", [], Counter(), False, 0
+    for m in _LOOSE.finditer(said):
+        n = int(m[1]) if len(m[1]) < 10 else len(values)
+        if n < len(values):
+            seen[n] += 1
+            pieces += [said[at : m.start()], values[n]]
+            at = m.end()
+        else:
+            unknown = True
+    pieces.append(said[at:])
+    doubled = min((n for n, times in seen.items() if times > 1), default=None)
+    if doubled is not None:
+        return None, f"doubled:{doubled}"
+    if unknown:
         return None, "unknown slot"
-    for n in sorted(set(range(len(values))) - set(seen)):
-        alike = [k for k in range(len(values)) if values[k] == values[n] and k not in seen]
-        if len(re.findall(rf"(?<![A-Za-z0-9]){re.escape(values[n])}(?![A-Za-z0-9])", text)) != len(alike):
-            return None, f"missing:{n}"
-    return re.sub("\x00(\\d+)\x00", lambda m: values[int(m[1])], text), None
+    # Text between slots; a value does not reach over the place of one.
+    between = "\n".join(pieces[::2])
+    lacking = Counter(values[n] for n in range(len(values)) if n not in seen)
+    for n in range(len(values)):
+        if n not in seen and (times := lacking.pop(values[n], None)) is not None:
+            if len(re.findall(rf"(?<![A-Za-z0-9]){re.escape(values[n])}(?![A-Za-z0-9])", between)) != times:
+                return None, f"missing:{n}"
+    return "".join(pieces), None
 
 
 def slots_in(fragment: str, values: list[str]) -> list[int]:
@@ -102,7 +109,7 @@ def slots_in(fragment: str, values: list[str]) -> list[int]:
 
 def clauses(text: str) -> list[str]:
     """Pieces that end at a clause mark, which together are the text."""
-    return re.findall(r"[^,;:.!?，；：。！？、]*[,;:.!?，；：。！？、]+\s*|[^,;:.!?，；：。！？、]+$", text) if text else []
+    return _CLAUSE.findall(text) if text else []
 
 
 def packed(text: str, slots: int = T.chunk_slots, chars: int = T.chunk_chars) -> list[str]:

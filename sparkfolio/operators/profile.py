@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import geometry as G
 from sparkfolio.functions import text as X
+from sparkfolio.functions.literals import matched_length_udf
 from sparkfolio.thresholds import T
 
 
@@ -81,16 +82,32 @@ def language(docs: DataFrame, text: str = "text", fallback: str = "en") -> DataF
     return docs.select("doc_id", X.detect_language(F.col(text), fallback).alias("language"))
 
 
+def layer_matches(expected: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Per page of ``(doc_id, page_idx, text)`` on either side: characters expected, extracted and matched, letters and digits only.
+
+    Whole texts are matched block by block; equal ones never reach Python.  A
+    page that one side lacks has no text there.
+    """
+    side = lambda df, name: df.select("doc_id", "page_idx", X.compact(F.col("text")).alias(name))
+    both = side(expected, "e").join(side(extracted, "x"), ["doc_id", "page_idx"], "full")
+    both = both.select("doc_id", "page_idx", F.coalesce("e", F.lit("")).alias("e"), F.coalesce("x", F.lit("")).alias("x"))
+    matched = F.when(F.col("e") == F.col("x"), F.length("e")).when((F.col("e") == "") | (F.col("x") == ""), 0).otherwise(matched_length_udf("e", "x"))
+    return both.select("doc_id", "page_idx", F.length("e").alias("expected"), matched.alias("matched"), F.length("x").alias("extracted"))
+
+
 def layer_verification(pages: DataFrame) -> DataFrame:
     """``pages(doc_id, page_idx, expected, matched, extracted)`` in characters: coverage and duplication, and what fails."""
-    by_page = pages.where("expected > 0").select(
-        "*", (F.col("matched") / F.col("expected") < T.layer_coverage).alias("thin"), (F.col("extracted") / F.col("expected") > T.layer_duplication).alias("doubled")
+    some = F.col("expected") > 0
+    by_page = pages.select(
+        "*", (some & (F.try_divide("matched", "expected") < T.layer_coverage)).alias("thin"),
+        (some & (F.try_divide("extracted", "expected") > T.layer_duplication)).alias("doubled"), (~some & (F.col("extracted") > 0)).alias("stray"),
     )
     sums = by_page.groupBy("doc_id").agg(
-        F.round(F.sum("matched") / F.sum("expected"), 6).alias("coverage"), F.round(F.sum("extracted") / F.sum("expected"), 6).alias("duplication"),
-        F.count_if("thin").alias("thin_pages"), F.count_if("doubled").alias("doubled_pages"),
+        F.sum("expected").alias("expected"), F.round(F.least(F.try_divide(F.sum("matched"), F.sum("expected")), F.lit(1.0)), 6).alias("coverage"), F.round(F.try_divide(F.sum("extracted"), F.sum("expected")), 6).alias("duplication"),
+        F.count_if("thin").alias("thin_pages"), F.count_if("doubled").alias("doubled_pages"), F.count_if("stray").alias("stray_pages"),
     )
-    return sums.select("*", ((F.col("thin_pages") == 0) & (F.col("doubled_pages") == 0)).alias("passed"))
+    passed = (F.col("thin_pages") == 0) & (F.col("doubled_pages") == 0) & (F.col("stray_pages") == 0)
+    return sums.where("expected > 0 or stray_pages > 0").drop("expected").select("*", passed.alias("passed"))
 
 
 def size_faults(source: DataFrame, output: DataFrame) -> DataFrame:

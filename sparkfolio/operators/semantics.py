@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.fixed import CAPTIONS_AND_TABLES, FORMULA, FURNITURE_IMAGE, FURNITURE_TEXT, LABELS, VISUAL
 from sparkfolio.functions import text as X
 
-# Raw labels and what they mean, and the sets that predicates ask for.
-ALIASES = {
-    "title": "section_heading", "heading": "section_heading", "section_title": "section_heading",
-    "paragraph_title": "section_heading", "doc_title": "document_title", "paragraph": "text", "plain_text": "text",
-    "body": "text", "header": "page_header", "footer": "page_footer", "number": "page_number", "figure": "image",
-    "picture": "image", "formula": "equation", "figure_title": "figure_caption", "table_title": "table_caption",
-    "stamp": "seal",
-}
-FURNITURE_TEXT = ("page_header", "page_footer", "page_number")
-FURNITURE_IMAGE = ("header_image", "footer_image")
-FORMULA = ("equation", "inline_equation", "interline_equation", "display_equation", "formula_number")
-VISUAL = ("image", "chart", "seal")
-NOT_SOURCE = (*FURNITURE_TEXT, *FURNITURE_IMAGE, *FORMULA, *VISUAL, "figure_caption", "table", "table_caption", "table_text")
-HEADINGS = ("document_title", "section_heading")
+NOT_SOURCE = (*FURNITURE_TEXT, *FURNITURE_IMAGE, *FORMULA, *VISUAL, *CAPTIONS_AND_TABLES)
+HEADINGS = ("title", "section_heading")
 
 
 def canonical(label: Column) -> Column:
     """The canonical type of a raw label; an unknown one stays what it is, a null one is text."""
     raw = F.translate(F.lower(F.trim(label)), "- ", "__")
-    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
     return F.coalesce(F.element_at(known, raw), F.nullif(raw, F.lit("")), F.lit("text"))
 
 

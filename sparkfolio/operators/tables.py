@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -164,9 +165,13 @@ def infer_headers(cells: list[tuple]) -> list[tuple]:
     return [(*c[:5], header[c[0]]) for c in cells]
 
 
-@F.udf(ST.ArrayType(CELL))
-def cells_udf(content: str | None):
-    return infer_headers(grid(structured_rows(content)))
+_CELLS = pa.list_(pa.struct([("row", pa.int32()), ("column", pa.int32()), ("row_span", pa.int32()), ("column_span", pa.int32()), ("text", pa.string()), ("header", pa.bool_())]))
+
+
+@F.arrow_udf(ST.ArrayType(CELL))
+def cells_udf(contents: pa.Array) -> pa.Array:
+    names = CELL.fieldNames()
+    return pa.array([[dict(zip(names, c)) for c in infer_headers(grid(structured_rows(x)))] for x in contents.to_pylist()], _CELLS)
 
 
 def extracted(tables: DataFrame, key: list[str], content: str = "content") -> DataFrame:
@@ -197,10 +202,11 @@ def column_anchors(values: DataFrame, key: list[str], x: Column, columns: int, p
 
 
 def nearest_anchor(values: DataFrame, anchors: DataFrame, key: list[str], x: Column) -> DataFrame:
-    """Each value's column: the anchor closest to it, of equally close ones the first."""
-    both = values.withColumn("__x", x).join(anchors, key)
-    kept = [c for c in values.columns if c not in key]
-    return both.groupBy(*key, *kept).agg(F.min_by("column", F.struct(F.abs(F.col("__x") - F.col("anchor")), F.col("column"))).alias("column"))
+    """Each value's column: the anchor closest to it, of equally close ones the first; null in a table without anchors."""
+    listed = anchors.groupBy(*key).agg(F.collect_list(F.struct("column", "anchor")).alias("__anchors"))
+    both = values.withColumn("__x", x).join(listed, key, "left")
+    far = F.transform("__anchors", lambda a: F.struct(F.abs(F.col("__x") - a["anchor"]).alias("far"), a["column"].alias("column")))
+    return both.withColumn("column", F.array_min(far)["column"]).drop("__x", "__anchors")
 
 
 def matched_rows(left: DataFrame, right: DataFrame, key: list[str], label: str) -> DataFrame:
@@ -293,7 +299,7 @@ def paginated(groups: DataFrame, key: list[str], first: Column, more: Column) ->
     ``first`` and ``more`` are the room for rows on the first and each later
     page, the repeated header taken off.
     """
-    deal = F.udf(lambda sizes, a, b: pages(sizes, a, b), ST.ArrayType(ST.IntegerType()))
+    deal = F.arrow_udf(lambda s, a, b: pa.array([pages(*row) for row in zip(s.to_pylist(), a.to_pylist(), b.to_pylist())], pa.list_(pa.int32())), ST.ArrayType(ST.IntegerType()))
     listed = groups.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "height"))).alias("g"), F.first(first).alias("a"), F.first(more).alias("b"))
     dealt = listed.select(*key, "g", deal(F.col("g.height"), "a", "b").alias("p"))
     flat = dealt.select(*key, F.explode(F.arrays_zip("g", "p")).alias("z"))
@@ -328,6 +334,6 @@ def line_clusters(boxes: list[tuple[float, float]]) -> list[int]:
     return out
 
 
-@F.udf(ST.ArrayType(ST.IntegerType()))
-def line_clusters_udf(centres, heights):
-    return line_clusters(list(zip(centres, heights)))
+@F.arrow_udf(ST.ArrayType(ST.IntegerType()))
+def line_clusters_udf(centres: pa.Array, heights: pa.Array) -> pa.Array:
+    return pa.array([None if c is None else line_clusters(list(zip(c, h))) for c, h in zip(centres.to_pylist(), heights.to_pylist())], pa.list_(pa.int32()))

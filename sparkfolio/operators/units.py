@@ -225,7 +225,7 @@ def markdown(blocks: DataFrame) -> DataFrame:
     from sparkfolio.operators.semantics import canonical, is_furniture_text
 
     kind = canonical(F.col("type"))
-    line = F.when(kind == "document_title", F.concat(F.lit("# "), "text")).when(kind == "section_heading", F.concat(F.lit("### "), "text")).otherwise(F.col("text"))
+    line = F.when(kind == "title", F.concat(F.lit("# "), "text")).when(kind == "section_heading", F.concat(F.lit("### "), "text")).otherwise(F.col("text"))
     said = blocks.where(~is_furniture_text(kind)).select("doc_id", "page_idx", "n", line.alias("line"))
     by_page = said.groupBy("doc_id", "page_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda b: b["line"]), "\n\n").alias("body"))
     titled = by_page.select("doc_id", "page_idx", F.concat(F.lit("## Page "), (F.col("page_idx") + 1).cast("string"), F.lit("\n\n"), F.col("body")).alias("page"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.adapters import StaticTranslator
+from sparkfolio.adapters import RefusingTranslator, StaticTranslator
 from sparkfolio.functions import geometry as G
 from sparkfolio.functions import text as X
 from sparkfolio.operators import composites as C
 from sparkfolio.operators import units as U
 from sparkfolio.plans.layout_queries import blocks
 from sparkfolio.plans.registry import query, table
+from sparkfolio.plans.text_queries import _WIDE, collapsed_sql, heading_sql, locked_sql
 from sparkfolio.sources.lines import LINES_SQL, PAGE_HEIGHT, PAGE_WIDTH, regions
 
 
-@query(f"""with {LINES_SQL}, e as (select *, case when type = 'section_title' then 'section_heading' else type end as kind from regions),
+@query(f"""with {LINES_SQL}, e as (select *, case when type = 'paragraph_title' then 'section_heading' else type end as kind from regions),
 best as (
   select l.doc_id, l.page_idx, l.n as idx, l.text, r.region_idx, greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0)) as shared
   from lines l join e r on l.doc_id = r.doc_id and l.page_idx = r.page_idx and r.kind = 'table'
@@ -41,11 +42,11 @@ def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {LINES_SQL}
-select doc_id, page_idx, n, page_idx = 0 and y0 <= 0.25 * {PAGE_HEIGHT} as title,
+select doc_id, page_idx, n, page_idx = 0 and y0 <= 0.25 * {PAGE_HEIGHT} and not numbered as title,
   case when abs((x0 + x1) / 2 - {PAGE_WIDTH} / 2) <= 0.03 * {PAGE_WIDTH} and x1 - x0 <= 0.8 * {PAGE_WIDTH} then 'center' when x0 > {PAGE_WIDTH} / 2 then 'right' else 'left' end as align
-from lines where not regexp_matches(trim(text), '^((?:\\d+(?:\\.\\d+)*\\.?)|(?:[IVXLC]+\\.)|(?:[A-Z]\\.))\\s+(.*)$')""")
+from (select *, {heading_sql(collapsed_sql("text"))} as numbered from lines)""")
 def heading_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks(spark, sf_dir).where(~F.trim("text").rlike(r"^((?:\d+(?:\.\d+)*\.?)|(?:[IVXLC]+\.)|(?:[A-Z]\.))\s+(.*)$"))
+    b = blocks(spark, sf_dir)
     title, align = C.heading_style(F.col("bbox"), F.col("text"), PAGE_WIDTH, PAGE_HEIGHT, F.col("page_idx"))
     return b.select("doc_id", "page_idx", "n", title.alias("title"), align.alias("align"))
 
@@ -60,9 +61,9 @@ def preserved_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {LINES_SQL}
 select doc_id, n, case when x1 - x0 < 0.18 * 540 then 'narrow' when y1 - y0 < 8 then 'low'
-  when greatest(1, ceil(length(text) * 0.5 * 9 / (x1 - x0))) * 9 * 1.25 > y1 - y0 then 'overflow' end as reason from lines where not regexp_matches(text, '[\\x{{3000}}-\\x{{9FFF}}]')""")
+  when greatest(1, ceil((length(text) + len(regexp_extract_all(text, '{_WIDE}'))) * 0.5 * 9 / (x1 - x0))) * 9 * 1.25 > y1 - y0 then 'overflow' end as reason from lines""")
 def unsafe_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks(spark, sf_dir).where(~F.col("text").rlike(X.CJK_WIDE))
+    b = blocks(spark, sf_dir)
     return b.select("doc_id", "n", C.unsafe_area(F.col("bbox"), F.col("text"), 540.0).alias("reason"))
 
 
@@ -140,7 +141,7 @@ def header_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def heading_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    kind = F.when((F.length("text") < 30) & (F.col("type") == "text"), "section_title").otherwise(F.col("type"))
+    kind = F.when((F.length("text") < 30) & (F.col("type") == "text"), "paragraph_title").otherwise(F.col("type"))
     out = C.heading_units(b.withColumn("type", kind), regions(b), PAGE_WIDTH, PAGE_HEIGHT)
     return out.select("doc_id", "page_idx", F.array_join(F.array_sort("members").cast("array<string>"), ",").alias("members"))
 
@@ -151,19 +152,32 @@ def body_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.body_units(b, regions(b), PAGE_WIDTH, PAGE_HEIGHT)
 
 
-@query("""with u as (select conv_id as doc_id, conv_id * 1000 + turn as unit_id, case role when 'user' then 'body' when 'system' then 'heading' else 'cell' end as kind, (turn // 3)::int as page_idx, (turn % 2)::double as y, text from conversations),
-p as (select *, (row_number() over (partition by doc_id order by page_idx, y, case kind when 'heading' then 0 when 'body' then 1 else 2 end, unit_id) - 1)::int as position from u)
-select doc_id, unit_id, kind, page_idx, position, text as source, case when regexp_matches(text, '[A-Za-z]') then '~' || text else text end as target, regexp_matches(text, '[A-Za-z]') as translated, cast(null as varchar) as error from p
-where not regexp_matches(trim(text), '^[A-Z]{2,8}$')""")
-def translation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as units, translated by the double that puts a mark before each text."""
+UNITS_SQL = """u as (select conv_id as doc_id, conv_id * 1000 + turn as unit_id, case role when 'user' then 'body' when 'system' then 'heading' else 'cell' end as kind, (turn // 3)::int as page_idx, (turn % 2)::double as y, text from conversations),
+p as (select *, (row_number() over (partition by doc_id order by page_idx, y, case kind when 'heading' then 0 when 'body' then 1 else 2 end, unit_id) - 1)::int as position from u),
+w as (select *, regexp_matches(text, '[A-Za-z]') and not regexp_matches(text, '{wide}') and not {locked} as wanted from p)"""
+UNITS_SQL = UNITS_SQL.replace("{wide}", _WIDE).replace("{locked}", locked_sql("text"))
+
+
+def _turn_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("role") == "user", "body").when(F.col("role") == "system", "heading").otherwise("cell")
-    units = table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), kind.alias("kind"),
         F.floor(F.col("turn") / 3).cast("int").alias("page_idx"), (F.col("turn") % 2).cast("double").alias("y"), F.lit(0.0).alias("x"), "text",
     )
-    out = C.translation_ledger(units, StaticTranslator(), "zh")
-    return out.where(~F.trim("source").rlike("^[A-Z]{2,8}$")).drop("attempts")
+
+
+@query(f"""with {UNITS_SQL} select doc_id, unit_id, kind, page_idx, position, text as source, case when wanted then '~' || text else text end as target,
+  wanted as translated, wanted::int as attempts, cast(null as varchar) as error from w""")
+def translation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as units, translated by the double that puts a mark before each text."""
+    return C.translation_ledger(_turn_units(spark, sf_dir), StaticTranslator(), "zh")
+
+
+@query(f"""with {UNITS_SQL} select doc_id, unit_id, kind, page_idx, position, text as source, case when wanted and not contains(text, 'q') then '~' || text else text end as target,
+  wanted as translated, case when wanted and contains(text, 'q') then 'refused' end as error from w""")
+def translation_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a double that refuses texts with one letter: attempts, cuts in two, and a row that says why there is no text."""
+    return C.translation_ledger(_turn_units(spark, sf_dir), RefusingTranslator("q"), "zh").drop("attempts")
 
 
 @query("""with f as (select conv_id, turn, unnest(range(len(a)))::int as fragment, unnest(a) as piece, p, q from (

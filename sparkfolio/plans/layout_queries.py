@@ -83,13 +83,13 @@ def exclusive_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assigned(regions(blocks(spark, sf_dir)), shifted(spark, sf_dir))
 
 
-@query(f"""with {LINES_SQL}, few as (select * from regions where type in ('table', 'section_title'))
+@query(f"""with {LINES_SQL}, few as (select * from regions where type in ('table', 'paragraph_title'))
 select doc_id, page_idx, n from lines l where not exists (
   select 1 from few r where r.doc_id = l.doc_id and r.page_idx = l.page_idx
     and least(l.x1, r.x1) > greatest(l.x0, r.x0) and least(l.y1, r.y1) > greatest(l.y0, r.y0))""")
 def uncovered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    return R.uncovered(b, regions(b).where("type in ('table', 'section_title')")).select("doc_id", "page_idx", "n")
+    return R.uncovered(b, regions(b).where("type in ('table', 'paragraph_title')")).select("doc_id", "page_idx", "n")
 
 
 BANDS_SQL = LINES_SQL + f""", anchors as (
@@ -141,7 +141,7 @@ def table_caption_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AFTER_SQL = f"""after as (
-  select distinct l.doc_id, l.page_idx, l.n from lines l join regions h on h.type = 'section_title'
+  select distinct l.doc_id, l.page_idx, l.n from lines l join regions h on h.type = 'paragraph_title'
     and h.doc_id = l.doc_id and h.page_idx = l.page_idx
     and l.y0 - h.y1 >= 0 and l.y0 - h.y1 <= 0.04 * {PAGE_HEIGHT}
     and greatest(0, greatest(l.x0, h.x0) - least(l.x1, h.x1)) <= 0.08 * {PAGE_WIDTH}
@@ -151,7 +151,7 @@ AFTER_SQL = f"""after as (
 @query(f"with {LINES_SQL}, {AFTER_SQL} select * from after")
 def follows_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    headings = regions(b).where("type = 'section_title'")
+    headings = regions(b).where("type = 'paragraph_title'")
     return R.follows_heading(b, headings, PAGE_WIDTH, PAGE_HEIGHT)
 
 
@@ -206,7 +206,7 @@ def duplicate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merged_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = blocks(spark, sf_dir).where("length(text) < 60")
+    few = blocks(spark, sf_dir)
     b = F.col("bbox")
     side = few.withColumn("bbox", G.box(b["x0"] + 40 * (F.col("n") % 9), b["y0"] - 10 * (F.col("n") % 9), b["x1"] + 40 * (F.col("n") % 9), b["y1"] - 10 * (F.col("n") % 9)))
     out = R.merged_headings(side, PAGE_WIDTH)
@@ -219,7 +219,7 @@ def merged_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, page_idx from kinds group by all
 having bool_or(kind = 'image') and not bool_or(kind = 'text')""")
 def preserved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("n") % 4 == 0, "Picture").when((F.col("n") % 4 == 1) & (F.col("page_idx") % 2 == 0), "Plain Text").otherwise("Header")
+    kind = F.when(F.col("n") % 4 == 0, "Image Body").when((F.col("n") % 4 == 1) & (F.col("page_idx") % 2 == 0), "content").otherwise("Header")
     return S.preserved_pages(blocks(spark, sf_dir).withColumn("type", kind))
 
 
@@ -237,7 +237,7 @@ def block_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {LINES_SQL}, b as (select *, ['text', 'image', 'page_header'][n % 3 + 1] as kind from lines)
-select doc_id, page_idx, type, x0, y0, x1, y1 from (select doc_id, page_idx, case type when 'section_title' then 'section_heading' else type end as type, x0, y0, x1, y1 from regions)
+select doc_id, page_idx, type, x0, y0, x1, y1 from (select doc_id, page_idx, case type when 'paragraph_title' then 'section_heading' else type end as type, x0, y0, x1, y1 from regions)
 union all
 select doc_id, page_idx, kind, x0, y0, x1, y1 from b where (doc_id, page_idx, kind) not in (select (doc_id, page_idx, type) from regions)""")
 def region_block_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("doc_id", "page_idx", "island").agg(F.min("a").alias("top"), F.max("b").alias("bottom"), F.count("*").alias("members"))
 
 
-@query(f"""with {LINES_SQL}, m as (select doc_id, page_idx, region_idx, min(y0) as a, max(y1) as b from lines join (select doc_id, page_idx, n, (n // 5)::int as region_idx from lines) using (doc_id, page_idx, n) where x1 - x0 > 240 group by all),
+@query(f"""with {LINES_SQL}, m as (select doc_id, page_idx, region_idx, min(y0) as a, max(y1) as b from lines join (select doc_id, page_idx, n, (n // 5)::int as region_idx from lines) using (doc_id, page_idx, n) group by all),
 f as (select *, a > max(b) over (partition by doc_id, page_idx order by a, b, region_idx rows between unbounded preceding and 1 preceding) as fresh from m),
 i as (select *, sum(coalesce(fresh, true)::int) over (partition by doc_id, page_idx order by a, b, region_idx) as island from f),
 g as (select doc_id, page_idx, island, min(a) as a, max(b) as b from i group by all)
@@ -266,7 +266,7 @@ qualify bottom > top
 union all
 select doc_id, page_idx, max(b), {PAGE_HEIGHT}::double from g group by all having max(b) < {PAGE_HEIGHT}""")
 def free_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = blocks(spark, sf_dir).where("bbox.x1 - bbox.x0 > 240").groupBy("doc_id", "page_idx", F.floor(F.col("n") / 5).cast("int").alias("region_idx"))
+    v = blocks(spark, sf_dir).groupBy("doc_id", "page_idx", F.floor(F.col("n") / 5).cast("int").alias("region_idx"))
     v = v.agg(F.min("bbox.y0").alias("a"), F.max("bbox.y1").alias("b"))
     merged = R.islands(v, ["doc_id", "page_idx"], "region_idx", F.col("a"), F.col("b"))
     spans = merged.groupBy("doc_id", "page_idx", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
@@ -287,11 +287,11 @@ def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
   select l.doc_id, l.page_idx, l.n, greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0)) / ((l.x1 - l.x0) * (l.y1 - l.y0)) as c, r.type as k
   from lines l join regions r using (doc_id, page_idx)
 )
-select doc_id, page_idx, n from lines anti join (select * from cov where k = 'section_title' and c >= 0.95 or k = 'table' and c >= 0.5) using (doc_id, page_idx, n)""")
+select doc_id, page_idx, n from lines anti join (select * from cov where k = 'paragraph_title' and c >= 0.95 or k = 'table' and c >= 0.5) using (doc_id, page_idx, n)""")
 def immovable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     r = regions(b)
-    return R.owned_text(b, r.where("type = 'section_title'"), r.where("type = 'table'")).select("doc_id", "page_idx", "n")
+    return R.owned_text(b, r.where("type = 'paragraph_title'"), r.where("type = 'table'")).select("doc_id", "page_idx", "n")
 
 
 @query(f"""with {LINES_SQL}

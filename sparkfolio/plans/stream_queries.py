@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,13 @@ from sparkfolio.streaming import progress as S
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """A stream's rows after all that is available now has been read."""
-    name = f"q_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """A stream's rows, drained into the shared folder; a folder of its own is made on one machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="sparkfolio-stream-")
+    return S.drained(stream, f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("""select time_bucket(interval '6 hours', ts, timestamp '2000-01-01') as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkfolio import fixed
 from sparkfolio.functions import literals as L
 from sparkfolio.functions import text as X
 from sparkfolio.operators import profile as P
@@ -42,29 +43,49 @@ def language_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("lang", X.detect_language(F.col("text")).alias("language")).groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
-_NUMBERED = r"^((?:\d+(?:\.\d+)*\.?)|(?:[IVXLC]+\.)|(?:[A-Z]\.))\s+(.*)$"
+def heading_sql(text: str) -> str:
+    """Whether ``text``, which has single spaces, is a numbered heading."""
+    part = lambda k: "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '{p}', {k}), '')" for p in fixed.HEADING_NUMBERS) + ")"
+    label, number = f"trim({part(2)})", f"regexp_replace(trim({part(1)}), '{fixed.HEADING_MARKS}', '')"
+    return f"""coalesce(length({text}) <= 64 and regexp_matches({label}, '\p{{L}}') and not regexp_matches({label}, '，|{fixed.SENTENCE_END}')
+  and not (length(regexp_replace({number}, '[^.]', '', 'g')) = 1 and length({label}) > 24), false)"""
+
+
+def collapsed_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+def locked_sql(text: str) -> str:
+    """Whether a cell is locked."""
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x: {collapsed_sql('x')})"
+    v = f"array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10))"
+    names = ", ".join(f"'{a}'" for a in fixed.ABBREVIATIONS)
+    return f"""({v} = '' or regexp_matches({v}, '{fixed.LOCKED_DATE}') or regexp_matches({v}, '{fixed.LOCKED_NUMBER}')
+  or (regexp_matches({v}, '{fixed.LOCKED_CODE}') and regexp_matches({v}, '{fixed.CODE_MARK}')) or regexp_matches({v}, '{fixed.LOCKED_FORMULA}') or upper(replace({v}, ' ', '')) in ({names}))"""
+
+
+_PREFIXES = ("2.1 ", "IV. ", "7 ", "3、", "4. ", "1.2.3", "12)", "A. ")
 
 
 @query(f"""with l as (select doc_id, unnest(range(len(a)))::int as n, unnest(a) as t from (select doc_id, string_split(text, chr(10)) as a from documents)),
-m as (select doc_id, n, case n % 3 when 0 then '2.1 ' when 1 then 'IV. ' else '7 ' end || t as t from l),
-p as (select *, trim(t) as s, regexp_extract(trim(t), '{_NUMBERED}', 1) as number, regexp_extract(trim(t), '{_NUMBERED}', 2) as label from m)
-select doc_id, n, length(s) <= 64 and number <> '' and regexp_matches(label, '\\p{{L}}') and not regexp_matches(label, '[.!?;]')
-  and not (length(regexp_replace(regexp_replace(number, '\\.$', ''), '[^.]', '', 'g')) <= 1 and length(label) > 24) as heading from p""")
+m as (select doc_id, n, {collapsed_sql(f"{list(_PREFIXES)}[n % {len(_PREFIXES)} + 1] || t")} as s from l)
+select doc_id, n, {heading_sql("s")} as heading from m""")
 def numbered_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "t"))
-    prefix = F.when(F.col("n") % 3 == 0, "2.1 ").when(F.col("n") % 3 == 1, "IV. ").otherwise("7 ")
-    made = F.concat(prefix, F.col("t"))
-    return lines.select("doc_id", "n", X.is_numbered_heading(X.nfkc(made)).alias("heading"))
+    prefix = F.element_at(F.array(*map(F.lit, _PREFIXES)), F.col("n") % len(_PREFIXES) + 1)
+    return lines.select("doc_id", "n", X.is_numbered_heading(X.nfkc(F.concat(prefix, F.col("t")))).alias("heading"))
+
 
+_CELLS = ("Na2SO4", "H2O", "99.5 %", "2024-01-05", "N / A", "A-001", "plain words", "GMP", "≤ 5 mg/L", "12")
 
-@query("""with w as (select doc_id, unnest(range(len(a)))::int as n, unnest(a) as t from (select doc_id, string_split(text, ' ') as a from documents))
-select doc_id, n, trim(t) = '' or regexp_matches(trim(t), '^\\d{1,4}[-/.]\\d{1,2}[-/.]\\d{1,4}$')
-  or regexp_matches(trim(t), '^[<>=≤≥~±+-]?\\s*\\d[\\d,]*(\\.\\d+)?\\s*(%|‰|[°℃]?[A-Za-z]{1,4}(/[A-Za-z]{1,4})?)?$')
-  or regexp_matches(trim(t), '^[A-Z]{2,8}$') or regexp_matches(trim(t), '^[A-Za-z0-9]*[-/.()][A-Za-z0-9\\-/.()]*$')
-  or regexp_matches(trim(t), '^[A-Za-z0-9_]+\\s*=\\s*[A-Za-z0-9_+\\-*/^(). ]+$') as locked from w""")
+
+@query(f"""with w as (select doc_id, unnest(range(len(a)))::int as n, unnest(a) as t from (select doc_id, string_split(text, ' ') as a from documents)),
+c as (select doc_id, n, case when n % 3 = 0 then {list(_CELLS)}[n % {len(_CELLS)} + 1] else t end as t from w)
+select doc_id, n, {locked_sql("t")} as locked from c""")
 def locked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("n", "t"))
-    return words.select("doc_id", "n", X.is_locked(F.col("t")).alias("locked"))
+    cell = F.when(F.col("n") % 3 == 0, F.element_at(F.array(*map(F.lit, _CELLS)), F.col("n") % len(_CELLS) + 1)).otherwise(F.col("t"))
+    return words.select("doc_id", "n", X.is_locked(cell).alias("locked"))
 
 
 @query(f"""select conv_id, turn, regexp_matches(text, '[A-Za-z]') and not regexp_matches(text, '{_WIDE}') as into_zh, regexp_matches(text, '{_WIDE}') as into_en from conversations""")
@@ -87,18 +108,28 @@ def numeric_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(L.numbers(F.col("text"))).alias("n", "value"))
 
 
-@query("select doc_id, true as restored, cast(null as varchar) as error from documents")
+@query("""select doc_id, true as restored, cast(null as varchar) as error, len(regexp_extract_all(text, '[0-9]'))::int as masked_digits, 0::int as digits_left,
+  length(regexp_replace(text, '[^a-z]', '', 'g'))::int as small_letters from documents""")
 def literal_mask_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked and restored: every digit is in a literal and none outside the slots, and no letter is lost or made."""
     masked = U.masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = masked.select("doc_id", "text", L.restore_udf("masked", "literals").alias("r"))
-    return back.select("doc_id", (F.col("text") == F.col("r.text")).alias("restored"), F.col("r.error").alias("error"))
+    back = masked.select("doc_id", "text", "masked", F.array_join("literals", "").alias("taken"), L.restore_udf("masked", "literals").alias("r"))
+    outside = F.regexp_replace("masked", r"\[\[[0-9]+\]\]", "")
+    return back.select(
+        "doc_id", (F.col("text") == F.col("r.text")).alias("restored"), F.col("r.error").alias("error"), X.count(F.col("taken"), "[0-9]").alias("masked_digits"),
+        X.count(outside, "[0-9]").alias("digits_left"), X.count(F.concat(outside, "taken"), "[a-z]").alias("small_letters"),
+    )
 
 
-@query("select conv_id, turn, true as whole, true as bounded from conversations")
+_JOINED = lambda units: f"string_split(list_reduce({units}, lambda a, x: case when length(split_part(a, chr(1), -1)) + length(x) <= 240 then a || x else a || chr(1) || x end), chr(1))"
+_CLAUSES = f"regexp_extract_all(text, '[^{fixed.CLAUSE_MARKS}]*[{fixed.CLAUSE_MARKS}]+\\s*|[^{fixed.CLAUSE_MARKS}]+$')"
+_CUT = _JOINED("flatten(list_transform(regexp_extract_all(c, '\\s+|[^\\s]+'), lambda u: list_transform(range(0, length(u), 240), lambda k: u[k + 1:k + 240])))")
+
+
+@query(f"""with p as (select conv_id, turn, text, flatten(list_transform({_CLAUSES}, lambda c: case when length(c) <= 240 then [c] else {_CUT} end)) as a from conversations)
+select conv_id, turn, case when text = '' then '' else array_to_string({_JOINED("a")}, '¦') end as chunks from p""")
 def clause_chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", L.packed_udf("text").alias("chunks"))
-    whole = F.array_join("chunks", "") == F.col("text")
-    return packed.select("conv_id", "turn", whole.alias("whole"), F.forall("chunks", lambda c: F.length(c) <= 240).alias("bounded"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(L.packed_udf("text"), "¦").alias("chunks"))
 
 
 @query("""select doc_id, sha256(text) as fingerprint, length(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'))::int as compact_chars,
@@ -117,32 +148,47 @@ def cell_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.clean_cell(F.col("text"))).alias("cleaned"))
 
 
-@query("""with v as (select o_orderkey, ['3/12', '第 7 页', 'page 5', '12', 'x', '12345', '4 page'][o_orderkey % 7 + 1] as t, ['2', '0', '500', 'x', '-3', '100', '7'][o_orderkey % 7 + 1] as s,
+# Texts and what they are as page numbers: as the rule says, not as our pattern does.
+_PAGES = {"3/12": "3/12", "第 7 页": "7", "page 5": None, "12": "12", "x": None, "123456": "123456", "4 page": "4", "5／12": "5/12", "7 页": "7", "第 7": "7", "B3": None, "4Page": "4", " ７ ": "7", "1/2/3": None}
+_PAGE_SQL = " ".join(f"when {k} then '{v}'" for k, v in enumerate(_PAGES.values()) if v is not None)
+
+
+@query(f"""with v as (select o_orderkey, ['2', '0', '500', 'x', '-3', '100', '7'][o_orderkey % 7 + 1] as s,
   ['#ff0080', '#FFFFFF', 'red', '#12345', '#000000', '#zz0000', '#0a0B0c'][o_orderkey % 7 + 1] as c, ['EN', 'zh_CN', 'Chinese', 'x', 'english', 'deu', 'zh-Hant'][o_orderkey % 7 + 1] as l from orders)
-select o_orderkey, case o_orderkey % 7 when 0 then 3 when 1 then 7 when 2 then 5 when 3 then 12 when 6 then 4 end::int as page,
+select o_orderkey, case o_orderkey % {len(_PAGES)} {_PAGE_SQL} end as page,
   case when try_cast(s as int) is null then 1 else least(100, greatest(1, try_cast(s as int))) end::int as span,
-  case when regexp_matches(c, '^#[0-9A-Fa-f]{6}$') then round(('0x' || substr(c, 2, 2))::int / 255.0::double, 6) end as red,
+  case when regexp_matches(c, '^#[0-9A-Fa-f]{{6}}$') then round(('0x' || substr(c, 2, 2))::int / 255.0::double, 6) end as red,
   case o_orderkey % 7 when 0 then 'en' when 1 then 'zh-cn' when 2 then 'zh' when 4 then 'en' when 5 then 'deu' when 6 then 'zh-tw' end as code from v""")
 def scalar_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("o_orderkey") % len(v) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", X.page_number(pick("3/12", "第 7 页", "page 5", "12", "x", "12345", "4 page")).alias("page"),
-        X.span(pick("2", "0", "500", "x", "-3", "100", "7")).alias("span"),
+        "o_orderkey", X.page_number(pick(*_PAGES)).alias("page"), X.span(pick("2", "0", "500", "x", "-3", "100", "7")).alias("span"),
         F.round(X.color(pick("#ff0080", "#FFFFFF", "red", "#12345", "#000000", "#zz0000", "#0a0B0c"))["r"], 6).alias("red"),
         X.language_code(pick("EN", "zh_CN", "Chinese", "x", "english", "deu", "zh-Hant")).alias("code"),
     )
 
 
-@query("""select doc_id, length(text)::int as chars, 1 + doc_id % 3 as repairs from documents""")
+@query("""select doc_id, md5(repeat('OOS ', (doc_id % 3 + 1)::int) || 'X00S OOS, ' || text) as repaired, (2 + doc_id % 3)::bigint as repairs from documents""")
 def confusion_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.concat(F.repeat(F.lit("00S "), (F.col("doc_id") % 3 + 1).cast("int")), F.lit("X00S "), "text")
-    made = table(spark, sf_dir, "documents").select("doc_id", "text", bad.alias("bad"))
-    good = X.repair_confusions(F.col("bad"))
-    left = F.length(good) - 5 - 4 * (F.col("doc_id") % 3 + 1)
-    return made.select("doc_id", F.when(X.confusion_count(good) == 0, left).cast("int").alias("chars"), X.confusion_count(F.col("bad")).cast("long").alias("repairs"))
+    """Each text after words that are confused, one of them in small letters, and one that only looks like it."""
+    bad = F.concat(F.repeat(F.lit("00S "), (F.col("doc_id") % 3 + 1).cast("int")), F.lit("X00S o0s, "), "text")
+    made = table(spark, sf_dir, "documents").select("doc_id", bad.alias("bad"))
+    return made.select("doc_id", F.md5(X.repair_confusions(F.col("bad"))).alias("repaired"), X.confusion_count(F.col("bad")).cast("long").alias("repairs"))
 
 
-@query()
+_SIGNED = {"签字 日期": True, "手签 日期": True, "批准 姓名": False, "<td>Signature</td>  <td>    </td> <td>Date</td>": True, "signature&nbsp;&#26085;期": True, "signed by date": False, "签名" + "x" * 13 + "日期": False, "Signature: ____ DATE": True}
+_ORDINALS = {"第一车间": "第1车间", "〇车间": "0车间", "零车间": "0车间", "二 车间": "二 车间", "九车间七车间": "9车间7车间", "十车间": "十车间"}
+
+
+@query(f"""select o_orderkey, [{", ".join(str(v).lower() for v in _SIGNED.values())}][o_orderkey % {len(_SIGNED)} + 1] as as_image,
+  {list(_ORDINALS.values())}[o_orderkey % {len(_ORDINALS)} + 1] as ordinal from orders""")
+def cell_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables kept as images and numerals before a unit, against what the rules say of each."""
+    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("o_orderkey") % len(v) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.should_keep_as_image(pick(_SIGNED)).alias("as_image"), X.ordinal_digits(pick(_ORDINALS)).alias("ordinal"))
+
+
+@query("select doc_id, 'ABC and very very DEF ' || text as text from documents")
 def acronym_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("ABC ABC ABC and very very DEF  DEF "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", X.collapse_acronyms(made).alias("text"))

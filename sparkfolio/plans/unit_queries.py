@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import geometry as G
+from sparkfolio.functions import text as X
 from sparkfolio.operators import layout as Y
 from sparkfolio.operators import profile as P
 from sparkfolio.operators import tables as B
 from sparkfolio.operators import units as U
 from sparkfolio.plans.layout_queries import blocks
 from sparkfolio.plans.registry import query, table
+from sparkfolio.plans.text_queries import locked_sql
 from sparkfolio.sources.files import html_blocks as parsed_html
 from sparkfolio.sources.lines import LINES_SQL
 
@@ -67,15 +69,18 @@ def best_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.best_orientation(tried)
 
 
-@query(f"""with {LINES_SQL}, p as (select doc_id, page_idx, sum(length(text)) as expected, sum(case when n % 5 <> doc_id % 5 then length(text) else 0 end) as matched, sum(length(text) * case when n % 3 = 0 then 2 else 1 end) as extracted from lines group by all)
-select doc_id, round(sum(matched) / sum(expected), 6) as coverage, round(sum(extracted) / sum(expected), 6) as duplication, count_if(matched / expected < 0.78)::bigint as thin_pages, count_if(extracted / expected > 1.25)::bigint as doubled_pages,
-  count_if(matched / expected < 0.78) = 0 and count_if(extracted / expected > 1.25) = 0 as passed from p where expected > 0 group by doc_id""")
+@query("""with t as (select conv_id as doc_id, turn as page_idx, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') as e from conversations),
+p as (select doc_id, page_idx, length(e)::bigint as expected, case page_idx % 4 when 1 then floor(length(e) * 0.6) else length(e) end as matched,
+  case page_idx % 4 when 1 then floor(length(e) * 0.6) when 2 then 2 * length(e) else length(e) end as extracted from t)
+select doc_id, round(sum(matched) / sum(expected), 6) as coverage, round(sum(extracted) / sum(expected), 6) as duplication, count_if(matched / expected < 0.78)::bigint as thin_pages,
+  count_if(extracted / expected > 1.25)::bigint as doubled_pages, count_if(expected = 0 and extracted > 0)::bigint as stray_pages,
+  count_if(matched / expected < 0.78) = 0 and count_if(extracted / expected > 1.25) = 0 and count_if(expected = 0 and extracted > 0) = 0 as passed from p group by doc_id having sum(expected) > 0""")
 def layer_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    pages = blocks(spark, sf_dir).groupBy("doc_id", "page_idx").agg(
-        F.sum(n).alias("expected"), F.sum(F.when(F.col("n") % 5 != F.col("doc_id") % 5, n).otherwise(0)).alias("matched"), F.sum(n * F.when(F.col("n") % 3 == 0, 2).otherwise(1)).alias("extracted")
-    )
-    return P.layer_verification(pages)
+    """Turns as pages, against layers that have them whole, cut off, twice, or with other spaces and marks."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_idx"), "text")
+    k, n, key = F.col("page_idx") % 4, F.length(X.compact(F.col("text"))), X.compact(F.col("text"))
+    layer = F.when(k == 1, F.substring(key, F.lit(1), F.floor(n * 0.6).cast("int"))).when(k == 2, F.concat("text", "text")).when(k == 3, F.regexp_replace("text", " ", " .  ")).otherwise(F.col("text"))
+    return P.layer_verification(P.layer_matches(c, c.withColumn("text", layer)))
 
 
 @query("""with s as (select p_partkey // 10 as doc_id, (p_partkey % 10)::int as page_idx, 600.0::double as width, 800.0::double as height, p_partkey, p_size from part),
@@ -163,9 +168,8 @@ def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.same_keys(a, table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey")))
 
 
-@query("""with w as (select doc_id, unnest(string_split(text, ' ')) as t from documents),
-f as (select doc_id, t, trim(t) = '' or regexp_matches(trim(t), '^\\d{1,4}[-/.]\\d{1,2}[-/.]\\d{1,4}$') or regexp_matches(trim(t), '^[<>=≤≥~±+-]?\\s*\\d[\\d,]*(\\.\\d+)?\\s*(%|‰|[°℃]?[A-Za-z]{1,4}(/[A-Za-z]{1,4})?)?$')
-  or regexp_matches(trim(t), '^[A-Z]{2,8}$') or regexp_matches(trim(t), '^[A-Za-z0-9]*[-/.()][A-Za-z0-9\\-/.()]*$') or regexp_matches(trim(t), '^[A-Za-z0-9_]+\\s*=\\s*[A-Za-z0-9_+\\-*/^(). ]+$') as locked,
+@query(f"""with w as (select doc_id, unnest(string_split(text, ' ')) as t from documents),
+f as (select doc_id, t, {locked_sql("t")} as locked,
   regexp_matches(t, '[A-Za-z]') as wanted, len(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?')) as k from w)
 select doc_id, count(*) as units, count_if(wanted and not locked)::bigint as translated, count_if(not (wanted and not locked))::bigint as preserved, (count_if(locked) + coalesce(sum(case when not locked then k end), 0))::bigint as protected from f group by doc_id""")
 def plan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,8 +311,8 @@ def column_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.column_anchors(v, ["t"], F.col("x"), 4, 600.0)
 
 
-@query("""with v as (select l_orderkey, l_linenumber, l_quantity * 12 as x from lineitem), a as (select unnest([0, 1, 2, 3])::int as c, unnest([100.0, 250.0, 400.0, 560.0])::double as anchor)
-select l_orderkey, l_linenumber, x, arg_min(c, {'d': abs(x - anchor), 'c': c}) as "column" from v, a group by all""")
+@query("""with v as (select l_orderkey, l_linenumber, l_quantity * 12 as x, row_number() over () as line from lineitem), a as (select unnest([0, 1, 2, 3])::int as c, unnest([100.0, 250.0, 400.0, 560.0])::double as anchor)
+select l_orderkey, l_linenumber, x, arg_min(c, {'d': abs(x - anchor), 'c': c}) as "column" from v, a group by line, l_orderkey, l_linenumber, x""")
 def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 12).alias("x"), F.lit(1).alias("t"))
     a = spark.createDataFrame([(1, 0, 100.0), (1, 1, 250.0), (1, 2, 400.0), (1, 3, 560.0)], "t int, column int, anchor double")
@@ -346,10 +350,22 @@ def table_paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paged(spark, sf_dir).select("t", "first", "last", F.round("height", 4).alias("height"), "page")
 
 
-@query("select 0::bigint as t, 0 as row, 0::bigint as times where false")
+@query(f"""with {ROWS_SQL}, p as (select t, min(row)::int as first, max(row)::int as last from i group by t, g)
+select t, unnest(range(first, last + 1))::int as row, case when t % 3 = 0 then 0 else 2 end::bigint as times from p where first = 0 and t % 3 < 2""")
 def table_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that pagination loses or repeats: none."""
-    return B.coverage_faults(_paged(spark, sf_dir), ["t"], _cells(spark, sf_dir).select("t", "row").distinct())
+    """Rows that pages lose or repeat: of every third table the first group is gone, of every other third it comes twice."""
+    paged = _paged(spark, sf_dir).select("t", "first", "last")
+    start, third = F.col("first") == 0, F.col("t") % 3
+    spoiled = paged.where(~(start & (third == 0))).unionByName(paged.where(start & (third == 1)))
+    return B.coverage_faults(spoiled, ["t"], _cells(spark, sf_dir).select("t", "row").distinct())
+
+
+@query("select t, count(*) as rows, true as whole from (select l_orderkey // 8 as t from lineitem) group by t")
+def table_pages_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pagination itself loses and repeats no row."""
+    cells = _cells(spark, sf_dir).select("t", "row").distinct()
+    faults = B.coverage_faults(_paged(spark, sf_dir).select("t", "first", "last"), ["t"], cells).groupBy("t").agg(F.count("*").alias("bad"))
+    return cells.groupBy("t").agg(F.count("*").alias("rows")).join(faults, "t", "left").select("t", "rows", F.col("bad").isNull().alias("whole"))
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:

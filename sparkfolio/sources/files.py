@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,7 +29,12 @@ def guarded_files(files: DataFrame, suffix: str = ".pdf", magic: bytes = b"%PDF-
 
 
 def read_files(spark: SparkSession, path: str, **guards) -> DataFrame:
-    return guarded_files(spark.read.format("binaryFile").load(path), **guards)
+    """Guarded files of a folder; the bytes of files beyond the size guard are never read."""
+    files = spark.read.format("binaryFile").load(path)
+    most = guards.get("most", inspect.signature(guarded_files).parameters["most"].default)
+    right = guarded_files(files.where(F.col("length") <= most), **guards)
+    large = files.where(F.col("length") > most).select("path", "length", F.lit("too_large").alias("fault"), F.lit(None).cast("string").alias("sha256"))
+    return right.unionByName(large)
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +59,7 @@ def layout_tables(payloads: DataFrame, key: str) -> tuple[DataFrame, DataFrame,
 
 #: Tags whose text is furniture, and what other tags' texts are.
 FURNITURE = {"nav": "page_header", "header": "page_header", "footer": "page_footer", "aside": "page_header"}
-KINDS = {"h1": "document_title", "h2": "section_heading", "h3": "section_heading", "p": "text", "li": "text", "td": "table_text", "th": "table_text"}
+KINDS = {"h1": "title", "h2": "section_heading", "h3": "section_heading", "p": "text", "li": "text", "td": "table_text", "th": "table_text"}
 SILENT = ("script", "style", "noscript", "template")
 VOID = ("br", "img", "hr", "meta", "link", "input")
 

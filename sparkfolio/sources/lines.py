@@ -33,7 +33,7 @@ def lines(docs: DataFrame) -> DataFrame:
 def regions(blocks: DataFrame) -> DataFrame:
     """``doc_id, page_idx, region_idx, type, confidence, bbox``: the union of each band of five lines."""
     band = F.floor(F.col("n") / REGION_LINES).cast("int").alias("region_idx")
-    kinds = F.when(F.col("region_idx") % 7 == 3, "section_title").when(F.col("region_idx") % 11 == 5, "table").otherwise("text")
+    kinds = F.when(F.col("region_idx") % 7 == 3, "paragraph_title").when(F.col("region_idx") % 11 == 5, "table").otherwise("text")
     merged = blocks.groupBy("doc_id", "page_idx", band).agg(G.union(F.col("bbox")).alias("bbox"))
     confidence = F.lit(0.5) + (F.col("region_idx") % 5) / 10
     return merged.select("doc_id", "page_idx", "region_idx", kinds.alias("type"), confidence.alias("confidence"), "bbox")
@@ -58,7 +58,7 @@ raw as (
   from lines group by all
 ), regions as (
   select doc_id, page_idx, region_idx,
-    case when region_idx % 7 = 3 then 'section_title' when region_idx % 11 = 5 then 'table' else 'text' end as type,
+    case when region_idx % 7 = 3 then 'paragraph_title' when region_idx % 11 = 5 then 'table' else 'text' end as type,
     0.5::double + (region_idx % 5)::double / 10::double as confidence, x0, y0, x1, y1
   from merged
 )

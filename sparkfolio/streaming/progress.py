@@ -30,12 +30,29 @@ def windowed(events: DataFrame, width: str = "6 hours", late: str | None = None)
 
 
 def requests_once(requests: DataFrame, late: str | None = None) -> DataFrame:
-    """Of requests with one fingerprint the first; in a stream within the watermark."""
+    """Of requests with one fingerprint the first by ``ts``; in a stream the first that comes within the watermark."""
     if late is None:
-        return requests.dropDuplicates(["fingerprint"])
+        rest = [c for c in requests.columns if c not in ("fingerprint", "ts")]
+        first = requests.groupBy("fingerprint").agg(F.min(F.struct("ts", *rest)).alias("r"))
+        return first.select("fingerprint", "r.*").select(*requests.columns)
     return requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """A stream's rows after all that is available now has been read, as a committed table under ``folder``.
+
+    The state and the progress are there too, so a run that was cut off goes on
+    where it was.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "complete":  # every batch is the whole result; the last one stays
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
+        writer.start().awaitTermination()
+    else:
+        writer.format("parquet").start(f"{folder}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def watched_files(spark: SparkSession, folder: str, schema: ST.StructType, suffix: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
     """New files of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(suffix).load(folder)

@@ -91,10 +91,10 @@ def test_text_functions(spark):
 
 
 def test_labels_and_pages(spark):
-    labels = ["Plain Text", "doc-title", "FIGURE", None, "", "something new", "table_text"]
+    labels = ["Content", "doc-title", "FIGURE", None, "", "something new", "table_text"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, type string")
     got = [r.v for r in df.select("i", S.canonical(F.col("type")).alias("v")).orderBy("i").collect()]
-    assert got == ["text", "document_title", "image", "text", "text", "something_new", "table_text"]
+    assert got == ["text", "title", "image", "text", "text", "something_new", "table_text"]
     assert [r.v for r in df.select("i", S.is_source_text(S.canonical(F.col("type"))).alias("v")).orderBy("i").collect()] == [True, True, False, True, True, True, False]
 
 
@@ -231,7 +231,7 @@ def test_profile_kinds(spark):
 
 def test_html_blocks_and_layout_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(1, "<nav>Menu</nav><h1>Title</h1><p>One<p>Two <b>bold</b><script>x()</script><!-- no --><footer>F</footer>"), (2, None)], "page_id long, html string")
-    assert [(r.type, r.text) for r in files.html_blocks(pages).orderBy("n").collect()] == [("page_header", "Menu"), ("document_title", "Title"), ("text", "One"), ("text", "Two bold"), ("page_footer", "F")]
+    assert [(r.type, r.text) for r in files.html_blocks(pages).orderBy("n").collect()] == [("page_header", "Menu"), ("title", "Title"), ("text", "One"), ("text", "Two bold"), ("page_footer", "F")]
     (tmp_path / "a.json").write_text('{"provider": "p", "pages": [{"page_size": [10, 20], "angle": 90}], "blocks": [{"page_idx": 0, "bbox": [0, 0, 1, 1], "text": "t", "type": "text"}], "regions": []}')
     p, r, b = files.layout_tables(files.read_layout(spark, str(tmp_path)), "path")
     assert [tuple(x)[1:] for x in p.collect()] == [(0, 10.0, 20.0, 270)] and r.count() == 0 and b.first().text == "t"
@@ -268,3 +268,59 @@ def test_inbox_is_processed_once(spark, tmp_path):
     spark.range(5, 6).select(F.col("id").alias("x")).write.mode("append").parquet(str(inbox))
     progress.run_jobs(progress.watched_files(spark, str(inbox), schema), lambda b: b.withColumn("y", F.col("x") * 2), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.y for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 10]
+
+
+def test_rules_as_the_results_compared_with_have_them(spark):
+    """Expected values from the rules' behaviour, not from our patterns."""
+    ask = lambda f, values: [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string").select("i", f(F.col("t")).alias("v")).orderBy("i").collect()]
+    raw = ["inline_formula", "display-formula", "page no", "image_body", "chart_body", "image_title", "pagenumber", "interline_formula", "title", "doc_title", "paragraph"]
+    want = ["inline_equation", "equation", "page_number", "image", "chart", "figure_caption", "page_number", "interline_equation", "title", "title", "paragraph"]
+    assert ask(S.canonical, raw) == want
+    assert ask(lambda c: S.is_source_text(S.canonical(c)), raw) == [False] * 8 + [True] * 3
+    headings = {"3.2方法": True, "1、目的": True, "1. No. of samples": True, "IV. Intro": False, "A. Intro": False, "3.2.5 " + "long label " * 4: True, "4.1 " + "long label " * 3: False, "7 items": False, "1. It ends.": False, "12) Scope:": True, "3.2": False, "1.5 mg": True, "１．目的": True, "1.2345 x": False, "2 . Aim": True}
+    assert ask(lambda c: X.is_numbered_heading(X.nfkc(c)), list(headings)) == list(headings.values())
+    locked = {"Na2SO4": True, "H2O": True, "C6H12O6": True, "": True, " \n ": True, "2024/1/5": True, "≤ 5.0 mg/mL": True, "A-001": True, "n / a": True, "QA": True, "word": False, "two words": False, "Hello": False, "x1": True, "12\n13": False, "第一": False}
+    assert ask(X.is_locked, list(locked)) == list(locked.values())
+    assert "Na2SO4" in L.literals("the Na2SO4 in it") and L.literals("标记A项") == ["A"]
+
+
+def test_restore_is_linear_and_takes_anything():
+    import time
+
+    text = " ".join(f"A-{i}" for i in range(20000))
+    masked, values = L.mask(text)
+    began = time.perf_counter()
+    assert L.restore(masked, values) == (text, None) and time.perf_counter() - began < 2
+    assert L.restore("\x007\x00 [[0]]", ["x"]) == ("\x007\x00 x", None)
+    assert L.restore("[[" + "9" * 6000 + "]]", ["x"])[1] == "unknown slot"
+    assert L.restore("x and [[1]]", ["x", "x"]) == ("x and x", None) and L.restore("[[1]]", ["x", "x"])[1] == "missing:0"
+
+
+def test_values_keep_their_rows(spark):
+    from sparkfolio.operators import tables as B
+
+    values = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 5.0)], "t int, x double")
+    anchors = spark.createDataFrame([(1, 0, 0.0), (1, 1, 10.0)], "t int, column int, anchor double")
+    assert sorted(((r.t, r.x, r.column) for r in B.nearest_anchor(values, anchors, ["t"], F.col("x")).collect()), key=str) == [(1, 5.0, 0), (1, 5.0, 0), (2, 5.0, None)]
+
+
+def test_the_first_request_stays(spark):
+    from sparkfolio.streaming import progress
+
+    df = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 3, "only")], "fingerprint string, ts int, what string").repartition(3)
+    assert sorted(tuple(r) for r in progress.requests_once(df).collect()) == [("a", 1, "first"), ("b", 3, "only")]
+
+
+def test_layers_are_matched_by_page(spark):
+    import difflib
+
+    a = [(1, 0, "The quick brown fox"), (1, 1, "second page " * 9), (2, 0, None), (3, 0, "same")]
+    b = [(1, 0, "The brown quick fox"), (1, 1, "second page " * 30), (2, 0, "stray"), (3, 0, "SAME")]
+    made = lambda rows: spark.createDataFrame(rows, "doc_id int, page_idx int, text string")
+    got = {(r.doc_id, r.page_idx): (r.expected, r.matched, r.extracted) for r in P.layer_matches(made(a), made(b)).collect()}
+    plain = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    for (d, p, x), (*_, y) in zip(a, b):
+        x, y = plain(x), plain(y)
+        assert got[d, p] == (len(x), sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()), len(y))
+    out = {r.doc_id: r for r in P.layer_verification(P.layer_matches(made(a), made(b))).collect()}
+    assert out[1].doubled_pages == 1 and not out[1].passed and out[2].stray_pages == 1 and not out[2].passed and out[3].passed
