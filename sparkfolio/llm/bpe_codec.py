@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import itertools
 import zlib
 from collections import defaultdict
@@ -245,16 +246,8 @@ def _arrow_type(docs: DataFrame, id_col: str) -> tuple[T.DataType, pa.DataType]:
     return kind, to_arrow_type(kind)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``ids array<int>`` per row of ``docs``.
-
-    Special tokens are not recognised: their strings are ordinary text.  A
-    null text is an empty one and has no ids.  Rows are told apart by place,
-    so repeated rows and repeated or null ids come back as often as they came.
-    The parts that words are dealt by grow with the characters of the input, the
-    partitions of both shuffles with the packed bytes, so what a task reads and
-    remembers does not.  An empty table gives an empty one.
-    """
+def _placed(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[DataFrame, str, pa.DataType]:
+    """What ``_assembled`` puts texts together from, sorted by chunk, and the type of ids."""
     import public_tokenizers
 
     pattern = public_tokenizers.PATTERN
@@ -281,9 +274,31 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         chunks.where("part is null").select("chunk", "first", "part", "packed", "ids", "lens")
     )
     placed = joined.repartition(tasks(of_words + of_rest, n), "chunk").sortWithinPartitions("chunk", "first")
+    return placed, name, arrow
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and ``ids array<int>`` per row of ``docs``.
+
+    Special tokens are not recognised: their strings are ordinary text.  A
+    null text is an empty one and has no ids.  Rows are told apart by place,
+    so repeated rows and repeated or null ids come back as often as they came.
+    The parts that words are dealt by grow with the characters of the input, the
+    partitions of both shuffles with the packed bytes, so what a task reads and
+    remembers does not.  An empty table gives an empty one.
+    """
+    placed, name, arrow = _placed(docs, path, id_col, text_col)
     return placed.mapInArrow(lambda it: _assembled(it, arrow), f"id {name}, ids array<int>")
 
 
+def decoded(ids: pa.ListArray, path: str) -> Iterator[bytes | None]:
+    """The bytes that lists of ids stand for, by the token-byte table; null lists stand for null."""
+    flat, start, length = token_bytes(path)
+    stop, values, null = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), ids.is_null().to_pylist()
+    for n, a, b in zip(null, stop, stop[1:]):
+        yield None if n else gathered(flat, start, length, values[a:b]).tobytes()
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` and a binary column ``decoded``; null ids decode to null, no ids to no bytes.
 
@@ -293,21 +308,28 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     @F.arrow_udf(T.BinaryType())
     def of(ids: pa.Array) -> pa.Array:
-        flat, start, length = token_bytes(path)
-        stop, values, null = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), ids.is_null().to_pylist()
-        out = [None if n else gathered(flat, start, length, values[a:b]).tobytes() for n, a, b in zip(null, stop, stop[1:])]
-        return pa.array(out, pa.binary())
+        return pa.array(decoded(ids, path), pa.binary())
 
     (name,) = fresh(encoded, "decoded")
     return encoded.select("*", of(col(ids_col)).alias(name))
 
 
+def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Number and digest of the ids of each text, and digest of the bytes that they decode to."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for batch in batches:
+        ids = batch.column(1)
+        stop, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+        listed = [sha(",".join(map(str, values[a:b].tolist())).encode()) for a, b in zip(stop, stop[1:])]
+        columns = [pa.array(np.diff(stop).astype(np.int64)), pa.array(listed, pa.string()), pa.array([sha(x) for x in decoded(ids, path)], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, encoded and decoded."""
-    both = decode(encode(docs, path, id_col, text_col), path)
-    return both.select(
-        F.col("id").alias("doc_id"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, encoded and decoded.
+
+    Ids and bytes are digested where texts are put together, so they never go
+    back to the engine.
+    """
+    placed, name, arrow = _placed(docs, path, id_col, text_col)
+    return placed.mapInArrow(lambda it: _digests(_assembled(it, arrow), path), f"doc_id {name}, n_tokens long, ids_sha256 string, decoded_sha256 string")
