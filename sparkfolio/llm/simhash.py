@@ -19,6 +19,8 @@ form for such links has 256 bits, of which up to WIDE_BITS may differ, and
 indexes one-wildcard variants of six short segments, each together with the
 least of a hash of the shingles: what makes a key selective is the least hash,
 and what splits the documents that share a frequent passage is the segment.
+Bits only choose candidates there; each link is then verified on the shingles
+themselves, of the texts that have a candidate.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfolio.llm.common import col, drop_written, located, location, without, written
+from sparkfolio.llm.common import BROADCAST_PLACES, col, drop_written, located, location, without, written
 from sparkfolio.llm.components import stars
 
 SEED = 42
@@ -46,7 +48,12 @@ BLOCK = 2048
 SPLIT = 1 << 17
 #: The wide form: words in a shingle, 64-bit words of a fingerprint, bits that may differ (the share at a similarity
 #: of 0.8 is 0.152 of them or 39, with a deviation of 6; at 0.7 it is 49, at 0.5 it is 69), segments that are indexed and their width.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_BITS, BANDS, BAND_BITS = 5, 4, 48, 6, 8
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BITS, BANDS, BAND_BITS = 5, 4, 56, 6, 8
+#: Similarity of the sets of shingles from which on two texts are near duplicates.
+SIMILARITY = 0.8
+#: Different shingles of a text that are held against another's; of a text with more, those with the least hashes stand
+#: for all. The similarity is exact up to there and has a deviation of 0.006 beyond.
+SKETCH = 4096
 #: Groups up to this size are compared by shifts over the sorted batch.
 SMALL_GROUP = 8
 _STEP = 1 << 16
@@ -136,6 +143,21 @@ def wide_udf(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([fp, least], ["fp", "least"])
 
 
+def sketch(text: bytes | None) -> tuple[np.ndarray, int]:
+    """The hashes of the set of five-word shingles in order, and the hash up to which they are all there."""
+    parts = [np.unique(x.view(np.int64)) for x in _shingle_hashes(text, WIDE_SHINGLE)]
+    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+    return (h, 2**63 - 1) if len(h) <= SKETCH else (h[:SKETCH], int(h[SKETCH - 1]))
+
+
+@F.arrow_udf(T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("upto", T.LongType())]))
+def sketch_udf(texts: pa.Array) -> pa.Array:
+    """The shingles of each text."""
+    found = [sketch(x) for x in texts.cast(pa.large_binary()).to_pylist()]
+    hashes = pa.array([h for h, _ in found], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([hashes, pa.array([u for _, u in found], pa.int64())], ["hashes", "upto"])
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """``(key, fp)``: 64 rows per fingerprint, the key naming variant and segment value."""
     out, v = [], 0
@@ -380,24 +402,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _near(fp: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which rows of ``fp`` (by 64-bit words) are within WIDE_BITS of ``other``."""
-    return np.bitwise_count(fp ^ other).sum(axis=1) <= WIDE_BITS
-
-
 def _wide_forest(node: np.ndarray, fp: np.ndarray) -> tuple[list, list]:
-    """Links that span what all links within one group connect."""
-    a, b, left = [], [], np.arange(len(node))
+    """Links that span what all links within one group connect, of as few differing bits as can be.
+
+    A link that verification refuses is then the closest there was between the
+    two parts it joins, so that a pair of alike texts is not lost to a third
+    one that is a little like both.
+    """
+    a, b, at = [], [], 0
+    left = np.arange(1, len(node))
+    bits, via = np.full(len(left), 64 * WIDE_WORDS + 1), np.zeros(len(left), dtype=np.int64)
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = _near(fp[left], fp[at])
-            if near.any():
-                found, left = left[near], left[~near]
-                a += [node[at]] * len(found)
-                b += node[found].tolist()
-                queue += found.tolist()
+        now = np.bitwise_count(fp[left] ^ fp[at]).sum(axis=1)
+        closer = now < bits
+        bits[closer], via[closer] = now[closer], at
+        k = int(bits.argmin())
+        at = int(left[k])
+        if bits[k] <= WIDE_BITS:
+            a.append(node[via[k]])
+            b.append(node[at])
+        for x in (left, bits, via):
+            x[k] = x[-1]
+        left, bits, via = left[:-1], bits[:-1], via[:-1]
     return a, b
 
 
@@ -490,16 +516,40 @@ def wide_variants(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*out)).alias("key"), "node", "fp")
 
 
-def wide_classes(narrow: DataFrame) -> DataFrame:
-    """``(fp, root)`` per distinct wide fingerprint of ``narrow(fp, least)``; ``root`` names its class."""
-    nodes = narrow.groupBy("fp").agg(F.min("least").alias("least")).select(F.monotonically_increasing_id().alias("node"), "fp", "least")
-    nodes = written(nodes, "nodes")
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose sets of shingles have a similarity of SIMILARITY or more.
+
+    Only texts with a candidate are read again, where they lie; what is moved
+    is their hashes, SKETCH a text at most.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    places = written(nodes.join(ends, "node").select("node", "at.file", "at.row"), "places")
+    file, row = location(docs)
+    texts = docs.select(file.alias("file"), row.alias("row"), col(text_col).alias("text"))
+    few = places.count() <= BROADCAST_PLACES
+    texts = texts.join(F.broadcast(places) if few else places, ["file", "row"])
+    sets = written(texts.select("node", sketch_udf("text").alias("s")), "shingles")
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("s").alias(f"s_{end}")), end)
+    upto = F.least("s_a.upto", "s_b.upto")
+    x, y = (F.filter(f"s_{end}.hashes", lambda h: h <= upto) for end in ("a", "b"))
+    sized = pairs.select("a", "b", F.size(x).alias("m"), F.size(y).alias("n"), F.size(F.array_intersect(x, y)).alias("both"))
+    near = F.col("both") >= F.lit(SIMILARITY) * (F.col("m") + F.col("n") - F.col("both"))
+    return written(sized.where(near).select("a", "b"), "alike")
+
+
+def wide_classes(narrow: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``(fp, root)`` per distinct wide fingerprint of ``narrow(file, row, fp, least)``; ``root`` names its class."""
+    nodes = narrow.groupBy("fp").agg(F.min("least").alias("least"), F.min(F.struct("file", "row")).alias("at"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "fp", "least", "at"), "nodes")
     rows = nodes.count()
     index = wide_variants(nodes).repartition("key").sortWithinPartitions("key")
     found = written(index.mapInArrow(_wide_candidates, _FOUND), "links", rows)
     hot = found.where("key is not null")
     plain = found.where("key is null").select("a", "b")
-    star = stars(plain if hot.isEmpty() else plain.unionAll(_wide_block_pairs(hot)), rows)
+    pairs = plain if hot.isEmpty() else plain.unionAll(_wide_block_pairs(hot))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    star = stars(alike(written(pairs, "pairs", rows), nodes, docs, text_col), rows)
     out = nodes.join(star, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     out = written(out, "classes", rows)
     drop_written(found)
@@ -510,19 +560,19 @@ def wide_classes(narrow: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each class of near duplicates left, columns unchanged.
 
-    Texts link by the wide form: sets of five-word shingles with a similarity
-    of about 0.8 or more.  The row with the smallest id stays (a null id is
+    Texts link if the wide form makes them candidates and their sets of
+    five-word shingles have a similarity of 0.8 or more.  The row with the smallest id stays (a null id is
     last; of equal ids, and of rows equal in every column, the one that lies
     first).  Rows are told apart by their place, never by what is in them, so
-    any column types will do; texts are read twice and not shuffled unless more
-    than BROADCAST_PLACES rows go.  An empty table gives an empty one.
+    any column types will do; texts are read where they lie and not shuffled
+    unless more than BROADCAST_PLACES rows have a candidate or go.  An empty table gives an empty one.
     """
     docs = located(docs)
     file, row = location(docs)
     wide = wide_udf(col(text_col))
     narrow = docs.select(col(id_col).alias("id"), file.alias("file"), row.alias("row"), wide.alias("w"))
     narrow = written(narrow.select("id", "file", "row", "w.fp", "w.least"), "fingerprints")
-    named = written(narrow.join(wide_classes(narrow), "fp").select("id", "file", "row", "root"), "members")
+    named = written(narrow.join(wide_classes(narrow, docs, text_col), "fp").select("id", "file", "row", "root"), "members")
     place = F.struct(F.col("id").isNull().alias("late"), "id", "file", "row")
     best = named.groupBy("root").agg(F.min(place).alias("best"))
     gone = named.join(best, "root").where(place != F.col("best")).select("file", "row")
