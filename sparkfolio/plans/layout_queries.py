@@ -199,12 +199,36 @@ def wrapper_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.without_wrappers(nested(spark, sf_dir)).select("doc_id", "page_idx", "region_idx")
 
 
-@query()
+@query(f"""with recursive {NESTED_SQL}, o as (
+  select doc_id, page_idx, struct_pack(region_idx := region_idx, x0 := x0, y0 := y0, x1 := x1, y1 := y1) as r, row_number() over (partition by doc_id, page_idx order by region_idx) as k from nested
+), z as (
+  select doc_id, page_idx, k, [r] as kept from o where k = 1
+  union all
+  select o.doc_id, o.page_idx, o.k, case when len(list_filter(z.kept, lambda q:
+      greatest(0, least(q.x1, o.r.x1) - greatest(q.x0, o.r.x0)) * greatest(0, least(q.y1, o.r.y1) - greatest(q.y0, o.r.y0))
+      >= 0.9::double * greatest((q.x1 - q.x0) * (q.y1 - q.y0), (o.r.x1 - o.r.x0) * (o.r.y1 - o.r.y0)))) > 0 then z.kept else list_append(z.kept, o.r) end
+  from z join o on z.doc_id = o.doc_id and z.page_idx = o.page_idx and o.k = z.k + 1
+)
+select doc_id, page_idx, r.region_idx as region_idx from (
+  select doc_id, page_idx, unnest(kept) as r from z qualify row_number() over (partition by doc_id, page_idx order by k desc) = 1)""")
 def duplicate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.without_duplicates(nested(spark, sf_dir)).select("doc_id", "page_idx", "region_idx")
 
 
-@query()
+@query(f"""with recursive {LINES_SQL}, o as (
+  select doc_id, page_idx, n, x0 + 40 * (n % 9) as x0, y0 - 10 * (n % 9) as y0, x1 + 40 * (n % 9) as x1, y1 - 10 * (n % 9) as y1 from lines
+), w as (select *, row_number() over (partition by doc_id, page_idx order by y0, x0, n) as k from o
+), z as (
+  select doc_id, page_idx, k, [struct_pack(members := [n], x0 := x0, y0 := y0, x1 := x1, y1 := y1)] as groups from w where k = 1
+  union all
+  select doc_id, page_idx, k, case when hit is null then list_append(groups, struct_pack(members := [n], x0 := x0, y0 := y0, x1 := x1, y1 := y1))
+    else list_transform(groups, lambda q, i: case when i = hit then struct_pack(members := list_append(q.members, n), x0 := least(q.x0, x0), y0 := least(q.y0, y0), x1 := greatest(q.x1, x1), y1 := greatest(q.y1, y1)) else q end) end
+  from (select w.*, z.groups, list_max(list_filter(list_transform(z.groups, lambda q, i: case
+      when least(q.y1, w.y1) - greatest(q.y0, w.y0) >= 0.65::double * least(q.y1 - q.y0, w.y1 - w.y0) and greatest(q.x0, w.x0) - least(q.x1, w.x1) <= 0.03::double * {PAGE_WIDTH}::double then i end), lambda i: i is not null)) as hit
+    from z join w on z.doc_id = w.doc_id and z.page_idx = w.page_idx and w.k = z.k + 1)
+)
+select doc_id, page_idx, array_to_string(list_sort(g.members), ',') as members, g.x0 as x0, g.y0 as y0, g.x1 as x1, g.y1 as y1 from (
+  select doc_id, page_idx, unnest(groups) as g from z qualify row_number() over (partition by doc_id, page_idx order by k desc) = 1)""")
 def merged_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = blocks(spark, sf_dir)
     b = F.col("bbox")

@@ -47,12 +47,12 @@ def heading_sql(text: str) -> str:
     """Whether ``text``, which has single spaces, is a numbered heading."""
     part = lambda k: "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, '{p}', {k}), '')" for p in fixed.HEADING_NUMBERS) + ")"
     label, number = f"trim({part(2)})", f"regexp_replace(trim({part(1)}), '{fixed.HEADING_MARKS}', '')"
-    return f"""coalesce(length({text}) <= 64 and regexp_matches({label}, '\p{{L}}') and not regexp_matches({label}, '，|{fixed.SENTENCE_END}')
+    return f"""coalesce(length({text}) <= 64 and regexp_matches({label}, '\\p{{L}}') and not regexp_matches({label}, '，|{fixed.SENTENCE_END}')
   and not (length(regexp_replace({number}, '[^.]', '', 'g')) = 1 and length({label}) > 24), false)"""
 
 
 def collapsed_sql(text: str) -> str:
-    return f"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
 
 
 def locked_sql(text: str) -> str:

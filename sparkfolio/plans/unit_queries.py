@@ -332,9 +332,21 @@ def matched_value_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.matched_rows(h, v, ["t"], "label")
 
 
-@query()
+CELLS_SQL = ROWS_SQL + """,
+c as (select t, row, e - row as span, (1 + l_partkey % 3) * 11.25::double + 1.4::double as need from r join s using (t, row))"""
+
+
+@query(f"""with recursive {CELLS_SQL.replace("select t, row, row + case", "select t, row, (row + case").replace("else 1 end as e", "else 1 end)::int as e")},
+h as (select t, list_transform(range(0, max(row)::int + 3), lambda x: null::double) as none, list(struct_pack(row := row, span := span, need := need) order by row) as cells from c group by t),
+z as (select t, 1 as k, list_filter(cells, lambda x: x.span > 1) as wide,
+    list_transform(none, lambda x, i: list_extract(list_transform(list_filter(cells, lambda q: q.row = i - 1 and q.span = 1), lambda q: q.need), 1)) as heights from h
+  union all
+  select t, k + 1, wide, list_transform(heights, lambda x, i: case when i = wide[k].row + wide[k].span
+      then coalesce(x, 11.25::double) + greatest(0, wide[k].need - list_sum(list_transform(heights[wide[k].row + 1 : wide[k].row + wide[k].span], lambda q: coalesce(q, 11.25::double)))) else x end)
+  from z where k <= len(wide))
+select t, row::int as row, round(height, 4) as height from (select t, unnest(range(len(heights))) as row, unnest(heights) as height from z where k = len(wide) + 1) where height is not null""")
 def table_row_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.row_heights(_cells(spark, sf_dir), ["t"])
+    return B.row_heights(_cells(spark, sf_dir), ["t"]).select("t", "row", F.round("height", 4).alias("height"))
 
 
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +357,14 @@ def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.paginated(rows.groupBy("t", "first", "last").agg(F.sum("h").alias("height")), ["t"], F.lit(120.0), F.lit(240.0))
 
 
-@query()
+@query(f"""with recursive {ROWS_SQL},
+p as (select t, g, min(row)::int as first, max(row)::int as last, sum((1 + l_partkey % 3) * 11.25::double + 1.4::double) as height from i join r using (t, row) group by t, g),
+o as (select *, row_number() over (partition by t order by first) as k from p),
+z as (select t, k, first, last, height, case when height > 120 and height <= 240 then 1 else 0 end as page, case when height > 120 and height <= 240 then 240.0::double else 120.0::double end - height as room from o where k = 1
+  union all
+  select o.t, o.k, o.first, o.last, o.height, case when o.height > z.room then z.page + 1 else z.page end, case when o.height > z.room then 240.0::double else z.room end - o.height
+  from z join o on z.t = o.t and o.k = z.k + 1)
+select t, first, last, round(height, 4) as height, page from z""")
 def table_paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paged(spark, sf_dir).select("t", "first", "last", F.round("height", 4).alias("height"), "page")
 
@@ -427,13 +446,30 @@ def text_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.round(Y.text_width(F.col("text"), 9.0), 4).alias("width"), Y.line_count(F.col("text"), 9.0, 300.0).alias("lines"))
 
 
-@query()
+@query("""with c as (select conv_id, turn, length(text) as n from conversations)
+select conv_id, turn, list_max(list_filter(list_transform(range(25), lambda k: 12 - k / 4), lambda s: greatest(1, ceil(n * 0.5::double * s / 300)) * s * 1.25::double <= 60))::double as size,
+  array_to_string(list_transform(range(6), lambda k: round(12 * pow(0.78::double, k), 4)::varchar), ',') as ladder from c""")
 def font_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", Y.fitted_size(F.col("text"), F.lit(300.0), F.lit(60.0), 12.0, 6.0).alias("size"), F.array_join(Y.font_ladder(F.lit(12.0)).cast("array<string>"), ",").alias("ladder"))
 
 
-@query()
+@query(f"""with recursive {LINES_SQL}, a as (
+  select doc_id, page_idx, n, y0 as wanted, 11.25::double * (1 + n % 3) as h, row_number() over (partition by doc_id, page_idx order by n) as k from lines
+), gaps as (select 11.25::double - 1.125::double * unnest(range(7)) as gap),
+z as (
+  select doc_id, page_idx, 0::bigint as k, 36.0::double as y, gap, null::double as top from (select distinct doc_id, page_idx from a) cross join gaps
+  union all
+  select doc_id, page_idx, k, put + h + gap, gap, put from (
+    select doc_id, page_idx, k, h, gap, case when free < 240 and free + h > 200 then 244.5::double else free end as put from (
+      select a.doc_id, a.page_idx, a.k, a.h, z.gap, greatest(z.y, case when z.gap = 11.25 then least(a.wanted, 516) else z.y end) as free
+      from z join a on z.doc_id = a.doc_id and z.page_idx = a.page_idx and a.k = z.k + 1))
+  where put + h <= 516 + 1e-9
+), best as (
+  select doc_id, page_idx, gap from (select doc_id, page_idx, gap, max(k) as fit from z group by all)
+  qualify row_number() over (partition by doc_id, page_idx order by fit desc, gap desc) = 1
+), tops as (select z.* from z join best using (doc_id, page_idx, gap))
+select a.doc_id, a.page_idx, a.n, round(t.top, 4) as top from a left join tops t on a.doc_id = t.doc_id and a.page_idx = t.page_idx and a.k = t.k""")
 def vertical_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     items = F.array_sort(F.collect_list(F.struct(F.col("n").alias("k"), F.col("bbox.y0").alias("y"), (11.25 * (1 + F.col("n") % 3)).alias("h"))))
