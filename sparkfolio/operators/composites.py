@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from sparkfolio.operators import semantics as S
 from sparkfolio.operators import tables as B
 from sparkfolio.operators import terms as M
 from sparkfolio.operators import units as U
+from sparkfolio.operators.folds import folded
 from sparkfolio.thresholds import T
 
 PAGE = ["doc_id", "page_idx"]
@@ -106,18 +106,17 @@ def header_columns(texts: DataFrame, cells: DataFrame, anchors: DataFrame) -> Da
     near = lambda x: F.min_by("column", F.struct(F.abs(F.col("anchor") - F.col(x)), F.col("column")))
     mapped = spans.join(anchors, "table").groupBy("table", "cell", "cluster").agg(near("a").alias("first"), near("b").alias("last"))
 
-    def in_order(table: pd.DataFrame) -> pd.DataFrame:
-        end, rows = -1, []
-        for cell, options in table.sort_values(["cell", "first"]).groupby("cell", sort=True):
-            for o in options.itertuples():
-                if o.first > end:
-                    rows.append((table["table"].iloc[0], cell, o.first, o.last))
-                    end = o.last
-                    break
-        return pd.DataFrame(rows, columns=["table", "cell", "first", "last"])
+    def in_order(options: list[dict]) -> list[dict]:
+        end, out = -1, []
+        for o in options:
+            if o["first"] is not None and o["first"] > end and not (out and out[-1]["cell"] == o["cell"]):
+                out.append({k: o[k] for k in ("cell", "first", "last")})
+                end = o["last"]
+        return out
 
     kind = dict(mapped.dtypes)
-    return mapped.groupBy("table").applyInPandas(in_order, f"table {kind['table']}, cell {kind['cell']}, first {kind['first']}, last {kind['last']}")
+    result = ", ".join(f"{k} {kind[k]}" for k in ("cell", "first", "last"))
+    return folded(mapped, ["table"], ["cell", "first", "last"], in_order, result)
 
 
 def disjoint_cover(intervals: DataFrame, columns: DataFrame) -> DataFrame:

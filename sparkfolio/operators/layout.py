@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkfolio.functions import text as X
 from sparkfolio.thresholds import T
@@ -74,9 +76,10 @@ def stacked(items: list[tuple[float, float]], top: float, bottom: float, obstacl
     return [None] * len(items)
 
 
-@F.udf(ST.ArrayType(ST.DoubleType()))
-def stacked_udf(items, top, bottom, obstacles):
-    return stacked([(i[0], i[1]) for i in items or []], top, bottom, [(o[0], o[1]) for o in obstacles or []])
+@F.arrow_udf(ST.ArrayType(ST.DoubleType()))
+def stacked_udf(items: pa.Array, top: pa.Array, bottom: pa.Array, obstacles: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (items, top, bottom, obstacles)))
+    return pa.array([stacked(i or [], t, b, o or []) for i, t, b, o in rows], pa.list_(pa.float64()))
 
 
 def prefix_that_fits(words: list[str], width: float, height: float, size: float = T.body_font) -> int:
@@ -129,6 +132,8 @@ def continued(texts: list[str], width: float, height: float, first_height: float
 _PIECES = ST.ArrayType(ST.StructType([ST.StructField("page", ST.IntegerType()), ST.StructField("item", ST.IntegerType()), ST.StructField("piece", ST.StringType())]))
 
 
-@F.udf(_PIECES)
-def continued_udf(texts, width, height, first_height):
-    return continued(list(texts or []), width, height, first_height)
+@F.arrow_udf(_PIECES)
+def continued_udf(texts: pa.Array, width: pa.Array, height: pa.Array, first_height: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (texts, width, height, first_height)))
+    found = [[dict(zip(("page", "item", "piece"), p)) for p in continued(t or [], *sizes)] for t, *sizes in rows]
+    return pa.array(found, to_arrow_type(_PIECES))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import geometry as G
+from sparkfolio.operators.folds import folded
 from sparkfolio.operators.semantics import canonical, is_furniture_text
 from sparkfolio.thresholds import T
 
@@ -187,24 +188,22 @@ def without_wrappers(regions: DataFrame) -> DataFrame:
 
 
 def without_duplicates(regions: DataFrame) -> DataFrame:
-    """Regions in their order without those that nearly coincide with one kept before (per page, in one task)."""
-    import numpy as np
-    import pandas as pd
-
-    def first_wins(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("region_idx", kind="stable")
-        boxes, kept = page[["x0", "y0", "x1", "y1"]].to_numpy(float), []
-        for i, (x0, y0, x1, y1) in enumerate(boxes):
-            k = boxes[kept]
-            w = np.minimum(k[:, 2], x1) - np.maximum(k[:, 0], x0)
-            h = np.minimum(k[:, 3], y1) - np.maximum(k[:, 1], y0)
-            larger = np.maximum((k[:, 2] - k[:, 0]) * (k[:, 3] - k[:, 1]), (x1 - x0) * (y1 - y0))
-            if not (np.clip(w, 0, None) * np.clip(h, 0, None) >= T.duplicate_overlap * larger).any():
-                kept.append(i)
-        return page.iloc[kept][["doc_id", "page_idx", "region_idx"]]
+    """Regions in their order without those that nearly coincide with one kept before (a page in one call)."""
+
+    def first_wins(page: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for r in page:
+            size = (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+            for k in kept:
+                w, h = min(k["x1"], r["x1"]) - max(k["x0"], r["x0"]), min(k["y1"], r["y1"]) - max(k["y0"], r["y0"])
+                if max(w, 0) * max(h, 0) >= T.duplicate_overlap * max((k["x1"] - k["x0"]) * (k["y1"] - k["y0"]), size):
+                    break
+            else:
+                kept.append(r)
+        return [{"region_idx": k["region_idx"]} for k in kept]
 
     flat = regions.select(*PAGE, "region_idx", "bbox.*")
-    kept = flat.groupBy(*PAGE).applyInPandas(first_wins, "doc_id long, page_idx int, region_idx int")
+    kept = folded(flat, PAGE, ["region_idx", "x0", "y0", "x1", "y1"], first_wins, "region_idx int")
     return regions.join(kept, [*PAGE, "region_idx"], "left_semi")
 
 
@@ -214,25 +213,24 @@ def merged_headings(headings: DataFrame, page_width: float) -> DataFrame:
     ``doc_id, page_idx, members array<int>, bbox``; a page's headings are few
     and folded in their order.
     """
-    import pandas as pd
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for n, x0, y0, x1, y1 in page.sort_values(["y0", "x0", "n"])[["n", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+    def fold(page: list[dict]) -> list[dict]:
+        groups: list[dict] = []
+        for r in page:
             for g in reversed(groups):
-                shared = min(g[4], y1) - max(g[2], y0)
-                gap = max(g[1], x0) - min(g[3], x1)
-                if shared >= T.merge_overlap * min(g[4] - g[2], y1 - y0) and gap <= T.merge_gap * page_width:
-                    g[0].append(int(n))
-                    g[1:] = [min(g[1], x0), min(g[2], y0), max(g[3], x1), max(g[4], y1)]
+                shared = min(g["y1"], r["y1"]) - max(g["y0"], r["y0"])
+                gap = max(g["x0"], r["x0"]) - min(g["x1"], r["x1"])
+                if shared >= T.merge_overlap * min(g["y1"] - g["y0"], r["y1"] - r["y0"]) and gap <= T.merge_gap * page_width:
+                    g["members"].append(r["n"])
+                    for side, better in (("x0", min), ("y0", min), ("x1", max), ("y1", max)):
+                        g[side] = better(g[side], r[side])
                     break
             else:
-                groups.append([[int(n)], x0, y0, x1, y1])
-        out = pd.DataFrame(groups, columns=["members", "x0", "y0", "x1", "y1"])
-        return out.assign(doc_id=page["doc_id"].iloc[0], page_idx=page["page_idx"].iloc[0])
+                groups.append({"members": [r["n"]], **{side: r[side] for side in ("x0", "y0", "x1", "y1")}})
+        return groups
 
     flat = headings.select(*PAGE, "n", "bbox.*")
-    out = flat.groupBy(*PAGE).applyInPandas(fold, "members array<int>, x0 double, y0 double, x1 double, y1 double, doc_id long, page_idx int")
+    out = folded(flat, PAGE, ["y0", "x0", "n", "x1", "y1"], fold, "members array<int>, x0 double, y0 double, x1 double, y1 double")
     return out.select(*PAGE, "members", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("bbox"))
 
 

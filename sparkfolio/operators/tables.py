@@ -11,13 +11,13 @@ import statistics
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from sparkfolio.functions import text as X
+from sparkfolio.operators.folds import folded
 from sparkfolio.thresholds import T
 
 CELL = ST.StructType([
@@ -248,20 +248,20 @@ def row_heights(cells: DataFrame, key: list[str], line: float = T.body_font * T.
     """Height of each row: the largest of its cells of one row; cells that span rows add to the last row they span."""
     need = (F.col("lines") * line + 2 * T.cell_padding_y).alias("need")
 
-    def top_up(table: pd.DataFrame) -> pd.DataFrame:
+    def top_up(cells: list[dict]) -> list[dict]:
         heights: dict[int, float] = {}
-        for r in table[table.row_span == 1].itertuples():
-            heights[r.row] = max(heights.get(r.row, 0.0), r.need)
-        for r in table[table.row_span > 1].sort_values(["row", "column"]).itertuples():
-            spanned = range(r.row, r.row + r.row_span)
-            lacking = r.need - sum(heights.get(i, line) for i in spanned)
-            heights[spanned[-1]] = heights.get(spanned[-1], line) + max(0.0, lacking)
-        out = pd.DataFrame(sorted(heights.items()), columns=["row", "height"])
-        return out.assign(**{k: table[k].iloc[0] for k in key})
+        for c in cells:
+            if c["row_span"] == 1:
+                heights[c["row"]] = max(heights.get(c["row"], 0.0), c["need"])
+        for c in cells:
+            if c["row_span"] > 1:
+                spanned = range(c["row"], c["row"] + c["row_span"])
+                lacking = c["need"] - sum(heights.get(i, line) for i in spanned)
+                heights[spanned[-1]] = heights.get(spanned[-1], line) + max(0.0, lacking)
+        return [{"row": r, "height": h} for r, h in sorted(heights.items())]
 
     flat = cells.select(*key, "row", "column", "row_span", need)
-    kinds = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in key)
-    return flat.groupBy(*key).applyInPandas(top_up, f"row int, height double, {kinds}")
+    return folded(flat, key, ["row", "column", "row_span", "need"], top_up, "row int, height double")
 
 
 def running_offsets(sizes: DataFrame, key: list[str], order: str, size: str, name: str) -> DataFrame:

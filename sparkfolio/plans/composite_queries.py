@@ -127,7 +127,15 @@ def trailing_row_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recovered_trailing(texts, cells).select("table", "row", "column", "text")
 
 
-@query()
+@query("""with recursive w as (select p_partkey as t, unnest(range(len(a)))::int as k, unnest(a) as word from (select p_partkey, string_split(p_name, ' ') as a from part)),
+c as (select t, k as cell, word as text from w union all select p_partkey, 9, p_name from part),
+o as (select *, row_number() over (partition by t order by cell) as i from (
+  select c.t, c.cell, list(w.k) as ks from c join w on c.t = w.t and w.word <> '' and contains(lower(c.text), lower(w.word)) group by all)),
+z as (select distinct t, 0::bigint as i, -1 as cell, null::int as hit, -1 as reached from o
+  union all
+  select t, i, cell, hit, coalesce(hit, reached) from (
+    select o.t, o.i, o.cell, list_min(list_filter(o.ks, lambda x: x > z.reached)) as hit, z.reached from z join o on z.t = o.t and o.i = z.i + 1))
+select t as "table", cell, hit as first, hit as last from z where hit is not null""")
 def header_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as header cells over the words they are made of."""
     part = table(spark, sf_dir, "part")
