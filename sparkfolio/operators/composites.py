@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkfolio.adapters import Translator, translated
 from sparkfolio.functions import geometry as G
 from sparkfolio.functions import text as X
+from sparkfolio.operators import layout as Y
 from sparkfolio.operators import regions as R
 from sparkfolio.operators import semantics as S
 from sparkfolio.operators import tables as B
@@ -203,3 +204,60 @@ def spec_template(elements: DataFrame) -> DataFrame:
         F.lit("text").alias("type"), "bbox", F.col("text").alias("source_text"), F.lit("").alias("text"), F.round(G.height(F.col("bbox")) * 0.8, 2).alias("font_size"),
         F.lit(6.0).alias("min_font_size"), F.lit("left").alias("align"), F.lit("#000000").alias("color"),
     )
+
+
+def source_layer(blocks: DataFrame, page_height: float) -> DataFrame:
+    """``doc_id, page_idx, n, text, bbox, disposition`` of every block; the text layer is made of those that are ``source``.
+
+    A block that no rule on types leaves out is furniture if it lies in a
+    page's band of furniture.
+    """
+    pixels = S.preserved_pages(blocks).select(*PAGE, F.lit(True).alias("pixels"))
+    clear = R.outside_bands(blocks, R.furniture_bands(blocks, page_height)).select(*PAGE, "n", F.lit(True).alias("clear"))
+    known = blocks.join(pixels, PAGE, "left").join(clear, [*PAGE, "n"], "left")
+    reason = S.disposition(S.canonical(F.col("type")), F.col("bbox"), F.coalesce("pixels", F.lit(False)))
+    said = known.select(*PAGE, "n", "text", "bbox", "clear", reason.alias("reason"))
+    placed = F.when((F.col("reason") == "source") & F.col("clear").isNull(), "furniture").otherwise(F.col("reason"))
+    return said.select(*PAGE, "n", "text", "bbox", placed.alias("disposition"))
+
+
+def redrawn_tables(cells: DataFrame, key: list[str], width: float, first: float, more: float) -> DataFrame:
+    """Tables set anew: columns measured, texts broken, rows dealt to pages, the header repeated on each.
+
+    ``cells(key, row, column, row_span, column_span, text, header)`` become
+    ``key, part, row, column, header, text, x0, y0, x1, y1``.  ``part`` 0 has
+    room for ``first`` points of the table, every later one for ``more``; rows
+    that a span holds together stay on one page.  Header rows are those from
+    the top down to the last that has a header cell and that no span ties to
+    the rows below.
+    """
+    line = T.body_font * T.line_height
+    asked = B.column_demand(cells.where("column_span = 1"), key, F.lit(T.body_font * Y.NARROW))
+    spanned = cells.select(*key, F.explode(F.sequence(F.col("column"), F.col("column") + F.col("column_span") - 1)).alias("column")).distinct()
+    demand = spanned.join(asked, [*key, "column"], "left").select(*key, "column", F.coalesce("demand", F.lit(T.column_least)).alias("demand"))
+    columns = B.running_offsets(B.allocated_widths(demand, key, width), key, "column", "width", "left")
+    columns = columns.select(*key, F.col("column").alias("c"), "left", (F.col("left") + F.col("width")).alias("right"))
+    inside = (F.col("c") >= F.col("column")) & (F.col("c") < F.col("column") + F.col("column_span"))
+    placed = cells.join(columns, key).where(inside).groupBy(*key, "row", "column", "row_span", "text", "header").agg(F.min("left").alias("x0"), F.max("right").alias("x1"))
+    room = F.greatest(F.col("x1") - F.col("x0") - 2 * T.cell_padding_x, F.lit(T.body_font))
+    placed = placed.withColumn("lines", Y.line_count(F.col("text"), T.body_font, room))
+
+    rows = cells.select(*key, F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)).alias("row")).distinct()
+    heights = rows.join(B.row_heights(placed, key, line), [*key, "row"], "left").select(*key, "row", F.coalesce("height", F.lit(line)).alias("height"))
+    whole = cells.select(*key, "row", "row_span").unionByName(rows.select(*key, "row", F.lit(1).alias("row_span")))
+    groups = B.atomic_groups(whole, key)
+    last = cells.where("header").groupBy(*key).agg(F.max("row").alias("head"))
+    tied = groups.join(last, key, "left").select(*key, "first", "last", (F.col("last") <= F.coalesce("head", F.lit(-1))).alias("top"))
+    sized = tied.select("*", F.explode(F.sequence("first", "last")).alias("row")).join(heights, [*key, "row"])
+    top = sized.where("top").groupBy(*key).agg(F.sum("height").alias("top_height"))
+    body = sized.where("not top").groupBy(*key, "first", "last").agg(F.sum("height").alias("height")).join(top, key, "left")
+    taken = F.coalesce(F.col("top_height"), F.lit(0.0))
+    dealt = B.paginated(body, key, first - taken, more - taken).select(*key, "first", "page")
+    parts = sized.where("not top").join(dealt, [*key, "first"]).select(*key, "row", "height", F.col("page").alias("part"))
+    # A table of a header alone has one part.
+    every = sized.select(*key).distinct().join(parts.select(*key, "part").distinct(), key, "left").select(*key, F.coalesce("part", F.lit(0)).alias("part"))
+    parts = parts.unionByName(sized.where("top").select(*key, "row", "height").join(every, key))
+    y = B.running_offsets(parts, [*key, "part"], "row", "height", "y0").select(*key, "part", "row", "y0", (F.col("y0") + F.col("height")).alias("y1"))
+    ends = y.select(*key, "part", F.col("row").alias("end"), F.col("y1").alias("bottom"))
+    out = placed.withColumn("end", F.col("row") + F.col("row_span") - 1).join(y, [*key, "row"]).join(ends, [*key, "part", "end"])
+    return out.select(*key, "part", "row", "column", "header", "text", "x0", "y0", "x1", F.col("bottom").alias("y1"))

@@ -110,12 +110,12 @@ def furniture_bands(blocks: DataFrame, page_height: float) -> DataFrame:
 
 
 def outside_bands(blocks: DataFrame, bands: DataFrame) -> DataFrame:
-    """Blocks whose centre is in no band and that none covers by half."""
+    """Blocks whose centre is in no band and that none covers by half; a page without furniture has no band."""
     b = F.col("bbox")
     share = lambda top, bottom: F.greatest(F.lit(0.0), F.least(b["y1"], bottom) - F.greatest(b["y0"], top)) / G.height(b)
     head, foot, low = F.col("header_bottom"), F.col("footer_top"), F.lit(1e9)
     inside = (
-        (G.center_y(b) <= head) | (share(F.lit(0.0), head) >= 0.5) | (G.center_y(b) >= foot) | (share(foot, low) >= 0.5)
+        (G.center_y(b) <= head) | (head.isNotNull() & (share(F.lit(0.0), head) >= 0.5)) | (G.center_y(b) >= foot) | (foot.isNotNull() & (share(foot, low) >= 0.5))
     )
     return blocks.join(bands, PAGE, "left").where(~F.coalesce(inside, F.lit(False))).drop("header_bottom", "footer_top")
 

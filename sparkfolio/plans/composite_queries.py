@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.adapters import RefusingTranslator, StaticTranslator
@@ -10,7 +10,7 @@ from sparkfolio.functions import geometry as G
 from sparkfolio.functions import text as X
 from sparkfolio.operators import composites as C
 from sparkfolio.operators import units as U
-from sparkfolio.plans.layout_queries import blocks
+from sparkfolio.plans.layout_queries import BANDS_SQL, blocks
 from sparkfolio.plans.registry import query, table
 from sparkfolio.plans.text_queries import _WIDE, collapsed_sql, heading_sql, locked_sql
 from sparkfolio.sources.lines import LINES_SQL, PAGE_HEIGHT, PAGE_WIDTH, regions
@@ -224,3 +224,32 @@ def inner_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", G.inner_size(b, F.lit(1.5), k % 4 * 90).alias("s")).select("o_orderkey", "s.width", "s.height")
 
 
+
+
+@query(f"""with {BANDS_SQL}, k as (
+  select *, case when type <> 'text' then type when page_idx % 3 = 2 then 'image' when n % 6 = 2 then 'equation' else 'text' end as kind from lines
+), p as (select doc_id, page_idx, bool_or(kind = 'image') and not bool_or(kind = 'text') as pixels from k group by all)
+select doc_id, page_idx, n, case when pixels then 'visual_page' when kind in ('page_header', 'page_footer') then 'furniture' when kind = 'equation' then 'formula' when kind = 'image' then 'visual_or_table'
+  when coalesce((y0 + y1) / 2 <= header_bottom or header_bottom is not null and greatest(0, least(y1, header_bottom) - y0) / (y1 - y0) >= 0.5
+    or (y0 + y1) / 2 >= footer_top or footer_top is not null and greatest(0, y1 - greatest(y0, footer_top)) / (y1 - y0) >= 0.5, false) then 'furniture' else 'source' end as disposition
+from k join p using (doc_id, page_idx) left join bands using (doc_id, page_idx)""")
+def source_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents: whether the layer has it, or why not."""
+    kind = F.when(F.col("type") != "text", F.col("type")).when(F.col("page_idx") % 3 == 2, "image_body").when(F.col("n") % 6 == 2, "display_formula").otherwise("text")
+    return C.source_layer(blocks(spark, sf_dir).withColumn("type", kind), PAGE_HEIGHT).select("doc_id", "page_idx", "n", "disposition")
+
+
+@query("""with r as (select l_orderkey // 8 as t, row_number() over (partition by l_orderkey // 8 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::int as row, l_partkey::varchar as part_key, l_returnflag as flag from lineitem),
+p as (select *, case when row <= 8 then 0 else 1 + (row - 9) // 17 end::int as part, 1 + case when row <= 8 then row - 1 else (row - 9) % 17 end as above from r),
+c as (select t, part, row, 0 as "column", false as header, part_key as text, above from p union all select t, part, row, 1, false, flag, above from p
+  union all select t, part, 0, 0, true, 'Part', 0 from (select distinct t, part from p) union all select t, part, 0, 1, true, 'Flag', 0 from (select distinct t, part from p))
+select t, part, row, "column", header, text, round(above * 12.65::double, 4) as y0, round((above + 1) * 12.65::double, 4) as y1 from c""")
+def table_redraw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of eight orders as a table of two columns over pages: eight rows fit the first, seventeen each later one."""
+    k = F.floor(F.col("l_orderkey") / 8)
+    w = Window.partitionBy(k).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(k.alias("t"), F.row_number().over(w).alias("row"), F.col("l_partkey").cast("string").alias("a"), F.col("l_returnflag").alias("b"))
+    rows = lines.select("t", "row", F.lit(False).alias("header"), "a", "b").unionByName(lines.select("t").distinct().select("t", F.lit(0).alias("row"), F.lit(True).alias("header"), F.lit("Part").alias("a"), F.lit("Flag").alias("b")))
+    cells = rows.select("t", "row", "header", F.posexplode(F.array("a", "b")).alias("column", "text"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span"))
+    out = C.redrawn_tables(cells, ["t"], 400.0, 120.0, 240.0)
+    return out.select("t", "part", "row", "column", "header", "text", F.round("y0", 4).alias("y0"), F.round("y1", 4).alias("y1"))

@@ -114,8 +114,8 @@ def furniture_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {BANDS_SQL}
 select doc_id, page_idx, n from lines left join bands using (doc_id, page_idx)
-where not coalesce((y0 + y1) / 2 <= header_bottom or greatest(0, least(y1, header_bottom) - y0) / (y1 - y0) >= 0.5, false)
-  and not coalesce((y0 + y1) / 2 >= footer_top or greatest(0, y1 - greatest(y0, footer_top)) / (y1 - y0) >= 0.5, false)""")
+where not coalesce((y0 + y1) / 2 <= header_bottom or header_bottom is not null and greatest(0, least(y1, header_bottom) - y0) / (y1 - y0) >= 0.5, false)
+  and not coalesce((y0 + y1) / 2 >= footer_top or footer_top is not null and greatest(0, y1 - greatest(y0, footer_top)) / (y1 - y0) >= 0.5, false)""")
 def furniture_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     return R.outside_bands(b, R.furniture_bands(b, PAGE_HEIGHT)).select("doc_id", "page_idx", "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -324,3 +325,40 @@ def test_layers_are_matched_by_page(spark):
         assert got[d, p] == (len(x), sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()), len(y))
     out = {r.doc_id: r for r in P.layer_verification(P.layer_matches(made(a), made(b))).collect()}
     assert out[1].doubled_pages == 1 and not out[1].passed and out[2].stray_pages == 1 and not out[2].passed and out[3].passed
+
+
+def test_tables_are_redrawn_over_pages(spark):
+    """A long table, one whose spans hold rows together, and one of a header alone."""
+    from sparkfolio.operators.composites import redrawn_tables
+
+    long = [("a", 0, 0, 1, 1, "Item", True), ("a", 0, 1, 1, 1, "Result", True)]
+    for r in range(1, 61):
+        long += [("a", r, 0, 1, 1, f"B-{r:03d}", False), ("a", r, 1, 1, 1, f"{90 + r / 10:.1f} %", False)]
+    tied = [("b", 0, 0, 1, 2, "Both columns", True)]
+    for r in range(1, 40, 3):
+        tied += [("b", r, 0, 3, 1, f"group {r}", False)] + [("b", r + i, 1, 1, 1, f"value {r + i}", False) for i in range(3)]
+    alone = [("c", 0, 0, 1, 1, "Nothing below", True)]
+    cells = spark.createDataFrame(long + tied + alone, "t string, row int, column int, row_span int, column_span int, text string, header boolean")
+    out = redrawn_tables(cells, ["t"], 400.0, 150.0, 240.0).collect()
+    assert Counter((r.t, r.row, r.column) for r in out if not r.header) == Counter(c[:3] for c in long + tied if not c[6])
+    for t in "abc":
+        mine = [r for r in out if r.t == t]
+        parts = sorted({r.part for r in mine})
+        assert parts == list(range(len(parts))) and (len(parts) > 1) == (t != "c")
+        for part in parts:
+            page = [r for r in mine if r.part == part]
+            assert {(r.row, r.column) for r in page if r.header} == {c[1:3] for c in long + tied + alone if c[0] == t and c[6]}
+            assert max(r.y1 for r in page) <= (150 if part == 0 else 240) + 1e-9 and max(abs(r.x1 - 400) for r in page if r.x1 > 300) < 1e-6
+            for p in page:
+                for q in page:
+                    apart = p.x1 <= q.x0 + 1e-9 or q.x1 <= p.x0 + 1e-9 or p.y1 <= q.y0 + 1e-9 or q.y1 <= p.y0 + 1e-9
+                    assert apart or (p.row, p.column) == (q.row, q.column)
+
+
+def test_the_source_layer_says_why(spark):
+    from sparkfolio.operators.composites import source_layer
+
+    rows = [(1, 0, 0, "head", "page_header", 30.0), (1, 0, 1, "close to it", "text", 36.0), (1, 0, 2, "body", "text", 300.0), (1, 0, 3, "x = 1", "display_formula", 320.0), (1, 0, 4, "c", "table", 340.0), (1, 1, 0, "", "image", 100.0), (1, 1, 1, "12", "page_no", 500.0)]
+    blocks = spark.createDataFrame([(*r[:5], (50.0, r[5], 90.0, r[5] + 10)) for r in rows], "doc_id int, page_idx int, n int, text string, type string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    got = {(r.page_idx, r.n): r.disposition for r in source_layer(blocks, 600.0).collect()}
+    assert got == {(0, 0): "furniture", (0, 1): "furniture", (0, 2): "source", (0, 3): "formula", (0, 4): "visual_or_table", (1, 0): "visual_page", (1, 1): "visual_page"}
