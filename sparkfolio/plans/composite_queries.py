@@ -146,7 +146,14 @@ def header_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.header_columns(texts, cells, anchors)
 
 
-@query()
+CLEAR_SQL = BANDS_SQL + """, clear as (
+  select l.* from lines l left join bands using (doc_id, page_idx)
+  where not coalesce((y0 + y1) / 2 <= header_bottom or header_bottom is not null and greatest(0, least(y1, header_bottom) - y0) / (y1 - y0) >= 0.5
+    or (y0 + y1) / 2 >= footer_top or footer_top is not null and greatest(0, y1 - greatest(y0, footer_top)) / (y1 - y0) >= 0.5, false) and type = 'text'
+)"""
+
+
+@query(f"with {CLEAR_SQL} select doc_id, page_idx, n::varchar as members from clear where length(text) < 30 or {heading_sql(collapsed_sql('text'))}")
 def heading_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     kind = F.when((F.length("text") < 30) & (F.col("type") == "text"), "paragraph_title").otherwise(F.col("type"))
@@ -154,7 +161,11 @@ def heading_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_idx", F.array_join(F.array_sort("members").cast("array<string>"), ",").alias("members"))
 
 
-@query()
+@query(f"""with {CLEAR_SQL}, held as (
+  select c.*, min(r.region_idx) as region_idx from clear c left join regions r on r.type = 'text' and c.doc_id = r.doc_id and c.page_idx = r.page_idx
+    and least(c.x1, r.x1) > greatest(c.x0, r.x0) and least(c.y1, r.y1) > greatest(c.y0, r.y0) group by all
+)
+select doc_id, page_idx, coalesce(region_idx, -1 - n)::int as unit, string_agg(text, ' ' order by y0, x0, text) as text from held group by all""")
 def body_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
     return C.body_units(b, regions(b), PAGE_WIDTH, PAGE_HEIGHT)
