@@ -229,7 +229,7 @@ def redrawn_tables(cells: DataFrame, key: list[str], width: float, first: float,
     room for ``first`` points of the table, every later one for ``more``; rows
     that a span holds together stay on one page.  Header rows are those from
     the top down to the last that has a header cell and that no span ties to
-    the rows below.
+    the rows below.  A table's cells are placed in one call.
     """
     line = T.body_font * T.line_height
     asked = B.column_demand(cells.where("column_span = 1"), key, F.lit(T.body_font * Y.NARROW))
@@ -242,22 +242,38 @@ def redrawn_tables(cells: DataFrame, key: list[str], width: float, first: float,
     room = F.greatest(F.col("x1") - F.col("x0") - 2 * T.cell_padding_x, F.lit(T.body_font))
     placed = placed.withColumn("lines", Y.line_count(F.col("text"), T.body_font, room))
 
-    rows = cells.select(*key, F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)).alias("row")).distinct()
-    heights = rows.join(B.row_heights(placed, key, line), [*key, "row"], "left").select(*key, "row", F.coalesce("height", F.lit(line)).alias("height"))
-    whole = cells.select(*key, "row", "row_span").unionByName(rows.select(*key, "row", F.lit(1).alias("row_span")))
-    groups = B.atomic_groups(whole, key)
-    last = cells.where("header").groupBy(*key).agg(F.max("row").alias("head"))
-    tied = groups.join(last, key, "left").select(*key, "first", "last", (F.col("last") <= F.coalesce("head", F.lit(-1))).alias("top"))
-    sized = tied.select("*", F.explode(F.sequence("first", "last")).alias("row")).join(heights, [*key, "row"])
-    top = sized.where("top").groupBy(*key).agg(F.sum("height").alias("top_height"))
-    body = sized.where("not top").groupBy(*key, "first", "last").agg(F.sum("height").alias("height")).join(top, key, "left")
-    taken = F.coalesce(F.col("top_height"), F.lit(0.0))
-    dealt = B.paginated(body, key, first - taken, more - taken).select(*key, "first", "page")
-    parts = sized.where("not top").join(dealt, [*key, "first"]).select(*key, "row", "height", F.col("page").alias("part"))
-    # A table of a header alone has one part.
-    every = sized.select(*key).distinct().join(parts.select(*key, "part").distinct(), key, "left").select(*key, F.coalesce("part", F.lit(0)).alias("part"))
-    parts = parts.unionByName(sized.where("top").select(*key, "row", "height").join(every, key))
-    y = B.running_offsets(parts, [*key, "part"], "row", "height", "y0").select(*key, "part", "row", "y0", (F.col("y0") + F.col("height")).alias("y1"))
-    ends = y.select(*key, "part", F.col("row").alias("end"), F.col("y1").alias("bottom"))
-    out = placed.withColumn("end", F.col("row") + F.col("row_span") - 1).join(y, [*key, "row"]).join(ends, [*key, "part", "end"])
-    return out.select(*key, "part", "row", "column", "header", "text", "x0", "y0", "x1", F.col("bottom").alias("y1"))
+    def placed_rows(table: list[dict]) -> list[dict]:
+        sizes = B.heights_of(table, line)
+        ends: dict[int, int] = {}
+        for c in table:
+            for r in range(c["row"], c["row"] + c["row_span"]):
+                ends[r] = max(ends.get(r, r), c["row"] + c["row_span"] - 1)
+        groups: list[list[int]] = []
+        for r in sorted(ends):
+            if groups and r <= reach:
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+                reach = r
+            reach = max(reach, ends[r])
+        head = max((c["row"] for c in table if c["header"]), default=-1)
+        top = [r for g in groups if g[-1] <= head for r in g]
+        body = [g for g in groups if g[-1] > head]
+        tall = lambda rows: sum(sizes.get(r, line) for r in rows)
+        dealt = B.pages([tall(g) for g in body], first - tall(top), more - tall(top))
+        out = []
+        for part in sorted(set(dealt)) or [0]:
+            y, bounds = 0.0, {}
+            for r in [*top, *(r for g, page in zip(body, dealt) if page == part for r in g)]:
+                bounds[r] = (y, y + sizes.get(r, line))
+                y = bounds[r][1]
+            for c in table:
+                if c["row"] in bounds:
+                    out.append({**c, "part": part, "y0": bounds[c["row"]][0], "y1": bounds[c["row"] + c["row_span"] - 1][1]})
+        return out
+
+    need = (F.col("lines") * line + 2 * T.cell_padding_y).alias("need")
+    flat = placed.select(*key, "row", "column", "row_span", "header", "text", "x0", "x1", need)
+    result = "part int, row int, column int, row_span int, header boolean, text string, x0 double, y0 double, x1 double, y1 double"
+    out = folded(flat, key, ["row", "column", "row_span", "header", "text", "x0", "x1", "need"], placed_rows, result)
+    return out.drop("row_span")

@@ -244,24 +244,26 @@ def allocated_widths(demand: DataFrame, key: list[str], total: Column | float) -
     return shares.select(*key, "column", (F.when(F.col("column") == F.col("last"), rest).otherwise(F.col("cents")) / 100).alias("width"))
 
 
+def heights_of(cells: list[dict], line: float) -> dict[int, float]:
+    """Height of each row of one table's cells ``row, row_span, need``, in the order of their rows."""
+    heights: dict[int, float] = {}
+    for c in cells:
+        if c["row_span"] == 1:
+            heights[c["row"]] = max(heights.get(c["row"], 0.0), c["need"])
+    for c in cells:
+        if c["row_span"] > 1:
+            spanned = range(c["row"], c["row"] + c["row_span"])
+            lacking = c["need"] - sum(heights.get(i, line) for i in spanned)
+            heights[spanned[-1]] = heights.get(spanned[-1], line) + max(0.0, lacking)
+    return heights
+
+
 def row_heights(cells: DataFrame, key: list[str], line: float = T.body_font * T.line_height) -> DataFrame:
     """Height of each row: the largest of its cells of one row; cells that span rows add to the last row they span."""
     need = (F.col("lines") * line + 2 * T.cell_padding_y).alias("need")
-
-    def top_up(cells: list[dict]) -> list[dict]:
-        heights: dict[int, float] = {}
-        for c in cells:
-            if c["row_span"] == 1:
-                heights[c["row"]] = max(heights.get(c["row"], 0.0), c["need"])
-        for c in cells:
-            if c["row_span"] > 1:
-                spanned = range(c["row"], c["row"] + c["row_span"])
-                lacking = c["need"] - sum(heights.get(i, line) for i in spanned)
-                heights[spanned[-1]] = heights.get(spanned[-1], line) + max(0.0, lacking)
-        return [{"row": r, "height": h} for r, h in sorted(heights.items())]
-
+    fold = lambda group: [{"row": r, "height": h} for r, h in sorted(heights_of(group, line).items())]
     flat = cells.select(*key, "row", "column", "row_span", need)
-    return folded(flat, key, ["row", "column", "row_span", "need"], top_up, "row int, height double")
+    return folded(flat, key, ["row", "column", "row_span", "need"], fold, "row int, height double")
 
 
 def running_offsets(sizes: DataFrame, key: list[str], order: str, size: str, name: str) -> DataFrame:
