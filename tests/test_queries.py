@@ -60,6 +60,17 @@ def test_units_of_long_documents_stay_apart(spark, tmp_path):
     assert [x for x in run("term_exact_join") if x[0] == 400000] == [(400000, 2), (400000, 4)]
 
 
+def test_acronyms_that_a_text_repeats_stay(spark, tmp_path):
+    """Runs within a text, at its start where the made output ends with the same acronym, and over a line's end."""
+    texts = [(1, "see SS SS SS there"), (2, "DEF DEF begins"), (3, "TO\nTO"), (4, ""), (5, None), (6, "DEF"), (7, "DEFG ABC ABC")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    ours = sorted((r.doc_id, r.text) for r in __spark_entry__.queries()["acronym_collapse"](spark, str(tmp_path)).collect())
+    assert ours == sorted(con.execute(f"select doc_id, text from ({__spark_entry__.oracle_sql()['acronym_collapse']})").fetchall())
+    assert ours[0] == (1, "ABC and very very DEF see SS SS SS there")
+
+
 @pytest.mark.parametrize("name", sorted(set(__spark_entry__.QUERIES) - set(__spark_entry__.SQL)))
 def test_runs_and_does_not_depend_on_partitions(spark, name):
     query = __spark_entry__.queries()[name]
