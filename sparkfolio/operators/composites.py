@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfolio.adapters import Translator, translated
 from sparkfolio.functions import geometry as G
 from sparkfolio.functions import text as X
-from sparkfolio.operators import layout as Y
 from sparkfolio.operators import regions as R
 from sparkfolio.operators import semantics as S
 from sparkfolio.operators import tables as B
 from sparkfolio.operators import terms as M
 from sparkfolio.operators import units as U
-from sparkfolio.operators.folds import folded
+from sparkfolio.operators.folds import batch_folded, folded
 from sparkfolio.thresholds import T
 
 PAGE = ["doc_id", "page_idx"]
@@ -229,51 +231,21 @@ def redrawn_tables(cells: DataFrame, key: list[str], width: float, first: float,
     room for ``first`` points of the table, every later one for ``more``; rows
     that a span holds together stay on one page.  Header rows are those from
     the top down to the last that has a header cell and that no span ties to
-    the rows below.  A table's cells are placed in one call.
-    """
-    line = T.body_font * T.line_height
-    asked = B.column_demand(cells.where("column_span = 1"), key, F.lit(T.body_font * Y.NARROW))
-    spanned = cells.select(*key, F.explode(F.sequence(F.col("column"), F.col("column") + F.col("column_span") - 1)).alias("column")).distinct()
-    demand = spanned.join(asked, [*key, "column"], "left").select(*key, "column", F.coalesce("demand", F.lit(T.column_least)).alias("demand"))
-    columns = B.running_offsets(B.allocated_widths(demand, key, width), key, "column", "width", "left")
-    columns = columns.select(*key, F.col("column").alias("c"), "left", (F.col("left") + F.col("width")).alias("right"))
-    inside = (F.col("c") >= F.col("column")) & (F.col("c") < F.col("column") + F.col("column_span"))
-    placed = cells.join(columns, key).where(inside).groupBy(*key, "row", "column", "row_span", "text", "header").agg(F.min("left").alias("x0"), F.max("right").alias("x1"))
-    room = F.greatest(F.col("x1") - F.col("x0") - 2 * T.cell_padding_x, F.lit(T.body_font))
-    placed = placed.withColumn("lines", Y.line_count(F.col("text"), T.body_font, room))
-
-    def placed_rows(table: list[dict]) -> list[dict]:
-        sizes = B.heights_of(table, line)
-        ends: dict[int, int] = {}
-        for c in table:
-            for r in range(c["row"], c["row"] + c["row_span"]):
-                ends[r] = max(ends.get(r, r), c["row"] + c["row_span"] - 1)
-        groups: list[list[int]] = []
-        for r in sorted(ends):
-            if groups and r <= reach:
-                groups[-1].append(r)
-            else:
-                groups.append([r])
-                reach = r
-            reach = max(reach, ends[r])
-        head = max((c["row"] for c in table if c["header"]), default=-1)
-        top = [r for g in groups if g[-1] <= head for r in g]
-        body = [g for g in groups if g[-1] > head]
-        tall = lambda rows: sum(sizes.get(r, line) for r in rows)
-        dealt = B.pages([tall(g) for g in body], first - tall(top), more - tall(top))
-        out = []
-        for part in sorted(set(dealt)) or [0]:
-            y, bounds = 0.0, {}
-            for r in [*top, *(r for g, page in zip(body, dealt) if page == part for r in g)]:
-                bounds[r] = (y, y + sizes.get(r, line))
-                y = bounds[r][1]
-            for c in table:
-                if c["row"] in bounds:
-                    out.append({**c, "part": part, "y0": bounds[c["row"]][0], "y1": bounds[c["row"] + c["row_span"] - 1][1]})
-        return out
+    the rows below.  Cells without a place or span are left out.
 
-    need = (F.col("lines") * line + 2 * T.cell_padding_y).alias("need")
-    flat = placed.select(*key, "row", "column", "row_span", "header", "text", "x0", "x1", need)
-    result = "part int, row int, column int, row_span int, header boolean, text string, x0 double, y0 double, x1 double, y1 double"
-    out = folded(flat, key, ["row", "column", "row_span", "header", "text", "x0", "x1", "need"], placed_rows, result)
-    return out.drop("row_span")
+    Cells are shuffled once, unless they lie by ``key`` already, and placed for
+    many tables in one call; memory follows the largest table.
+    """
+    numbers = ["row", "column", "row_span", "column_span"]
+    text = F.coalesce("text", F.lit(""))
+    chars = F.length(text)
+    longest = F.when(text.rlike(r"\s"), F.array_max(F.transform(F.split(text, r"\s+"), lambda w: F.length(w)))).otherwise(chars)
+    columns = {**{c: c for c in (*numbers, "header", "text")}, "token": longest, "chars": chars, "wide": X.count(text, X.CJK_WIDE)}
+
+    def placed(table: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        c = {name: table.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in (*numbers, "token", "chars", "wide")}
+        c["header"] = pc.fill_null(table.column("header"), False).to_numpy(zero_copy_only=False)
+        return B.redrawn_places(starts, c, width, first, more)
+
+    result = "part int, row int, column int, header boolean, text string, x0 double, y0 double, x1 double, y1 double"
+    return batch_folded(cells.dropna(subset=numbers), key, ["row", "column", "row_span", "header", "text"], columns, placed, result)

@@ -7,10 +7,13 @@ before and after is set-based.
 
 from __future__ import annotations
 
+import math
 import statistics
 from collections.abc import Iterable
 from html.parser import HTMLParser
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from pyspark.sql import types as ST
 
 from sparkfolio.functions import text as X
 from sparkfolio.operators.folds import folded
+from sparkfolio.operators.layout import NARROW, WIDE
 from sparkfolio.thresholds import T
 
 CELL = ST.StructType([
@@ -308,6 +312,107 @@ def paginated(groups: DataFrame, key: list[str], first: Column, more: Column) ->
     return flat.select(*key, "z.g.*", F.col("z.p").alias("page"))
 
 
+def redrawn_places(starts: np.ndarray, c: dict[str, np.ndarray], width: float, first: float, more: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Cells of whole tables set anew: the place of each cell drawn, and its ``part, x0, x1, y0, y1``.
+
+    ``c`` has the cells' ``row, column, row_span, column_span, header, token,
+    chars, wide`` in the order of their rows, ``starts`` where each table
+    begins.  All but heights of rows that a span holds and the dealing to
+    pages is done for all tables at once.
+    """
+    line, n, tables = T.body_font * T.line_height, len(c["row"]), len(starts)
+    table = np.repeat(np.arange(tables), np.diff(np.append(starts, n)))
+
+    def covered(begin: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Rows or columns that cells cover as ``table * stride + number``, the first of each cell, that of each place a cell covers."""
+        stride = int((begin + span).max(initial=0)) + 1
+        before = np.cumsum(span) - span
+        found, at = np.unique(np.repeat(table * stride + begin - before, span) + np.arange(span.sum()), return_inverse=True)
+        return found, at[before], at, stride
+
+    # Columns: what they ask for and what they get, as in column_demand and allocated_widths.
+    across, down = np.maximum(c["column_span"], 1), np.maximum(c["row_span"], 1)
+    places, col, _, stride = covered(c["column"] - c["column"].min(initial=0), across)
+    one, size, token, chars = across == 1, T.body_font * NARROW, np.zeros(len(places)), np.zeros(len(places))
+    np.maximum.at(token, col[one], c["token"][one])
+    np.maximum.at(chars, col[one], c["chars"][one])
+    prose = np.minimum(3.0, np.maximum(1.0, chars / 80))
+    wanted = np.maximum(np.maximum(token * size + 2 * T.cell_padding_x, np.sqrt(chars * size * 72) * prose), T.column_least)
+    demand, owner = np.minimum(T.column_cap, wanted), places // stride
+    cents = np.floor(demand / np.bincount(owner, demand)[owner] * width * 100)
+    last = np.append(owner[1:] != owner[:-1], True)
+    cents[last] = 0
+    cents[last] = math.floor(width * 100 + 0.5) - np.bincount(owner, cents)
+    right = np.cumsum(cents)
+    left = right - cents
+    base = left[np.append(True, last[:-1])][owner]
+    x0, x1 = (left - base)[col] / 100, (right - base)[col + across - 1] / 100
+    room = np.maximum(right[col + across - 1] - left[col] - 200 * T.cell_padding_x, 100 * T.body_font)  # in hundredths, in which a text that just fits does fit
+    text_width = (c["wide"] * WIDE + (c["chars"] - c["wide"]) * NARROW) * T.body_font
+    need = np.maximum(1, np.ceil(100 * text_width / room)) * line + 2 * T.cell_padding_y
+
+    # Rows: heights as in heights_of, groups that spans hold together.
+    lowest = c["row"].min(initial=0)
+    spots, top, at, stride = covered(c["row"] - lowest, down)
+    of, single = spots // stride, down == 1
+    sizes = np.full(len(spots), -1.0)
+    np.maximum.at(sizes, top[single], need[single])
+    sizes[sizes < 0] = line
+    for i in np.flatnonzero(~single):
+        a, b = top[i], top[i] + down[i]
+        sizes[b - 1] += max(0.0, need[i] - sum(sizes[a:b].tolist()))
+    ends = np.zeros(len(spots), np.int64)
+    np.maximum.at(ends, at, np.repeat(top + down - 1, down))
+    begins = np.append(True, (np.arange(1, len(spots)) > np.maximum.accumulate(ends)[:-1]) | (of[1:] != of[:-1]))
+    group = np.cumsum(begins) - 1
+    opens = np.flatnonzero(begins)
+    closes = np.append(opens[1:], len(spots))
+    tall = sizes[opens]
+    for g in np.flatnonzero(closes - opens > 1):
+        tall[g] = sum(sizes[opens[g] : closes[g]].tolist())
+
+    # Pages: the header rows of each table, its other groups dealt.
+    head = np.full(tables, -1)
+    np.maximum.at(head, table[c["header"]], c["row"][c["header"]])
+    heading = spots[closes - 1] % stride + lowest <= head[of[opens]]
+    headed, groups = np.bincount(of[opens], heading, tables).astype(int), np.bincount(of[opens], minlength=tables)
+    row_first = np.searchsorted(of, np.arange(tables))
+    head_rows = np.bincount(of, heading[group], tables).astype(int)
+    page, talls, at_group = np.full(len(opens), -1), tall.tolist(), 0
+    for t, (k, m) in enumerate(zip(headed.tolist(), groups.tolist())):
+        taken = sum(sizes[row_first[t] : row_first[t] + head_rows[t]].tolist()) if k else 0
+        page[at_group + k : at_group + m] = pages(talls[at_group + k : at_group + m], first - taken, more - taken)
+        at_group += m
+    body = np.flatnonzero(~heading[group])
+    row_page = page[group]
+    new = np.append(True, (of[body][1:] != of[body][:-1]) | (row_page[body][1:] != row_page[body][:-1]))[: len(body)]
+    bare = np.flatnonzero(headed == groups)  # a header alone is drawn once
+    part_table = np.concatenate([of[body[new]], bare])
+    part_no = np.concatenate([row_page[body[new]], np.zeros(len(bare), int)])
+    part_first = np.concatenate([body[new], np.zeros(len(bare), int)])
+    part_rows = np.concatenate([np.diff(np.append(np.flatnonzero(new), len(body))), np.zeros(len(bare), int)])
+
+    # Rows as drawn, part by part: the header's, then the part's own; and their cells.
+    heads = head_rows[part_table]
+    length = heads + part_rows
+    begin = np.cumsum(length) - length
+    part = np.repeat(np.arange(len(length)), length)
+    nth = np.arange(len(part)) - begin[part]
+    drawn = np.where(nth < heads[part], row_first[part_table][part] + nth, part_first[part] + nth - heads[part])
+    tall_rows, bottoms = sizes[drawn].tolist(), []
+    for a, k in zip(begin.tolist(), length.tolist()):
+        bottoms.extend(accumulate(tall_rows[a : a + k]))
+    y1 = np.array(bottoms, float)
+    y0 = np.append(0.0, y1[:-1])[: len(y1)]
+    y0[nth == 0] = 0.0
+    held = np.bincount(top, minlength=len(spots))
+    cell_first = np.cumsum(held) - held
+    times = held[drawn]
+    row_at = np.repeat(np.arange(len(drawn)), times)
+    cell = cell_first[drawn][row_at] + np.arange(len(row_at)) - (np.cumsum(times) - times)[row_at]
+    return cell, {"part": part_no[part[row_at]], "x0": x0[cell], "y0": y0[row_at], "x1": x1[cell], "y1": y1[row_at + down[cell] - 1]}
+
+
 def coverage_faults(parts: DataFrame, key: list[str], rows: DataFrame) -> DataFrame:
     """Rows that the parts ``(first, last)`` do not cover exactly once."""
     covered = parts.select(*key, F.explode(F.sequence("first", "last")).alias("row")).groupBy(*key, "row").agg(F.count("*").alias("times"))

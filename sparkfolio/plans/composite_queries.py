@@ -257,10 +257,11 @@ c as (select t, part, row, 0 as "column", false as header, part_key as text, abo
 select t, part, row, "column", header, text, round(above * 12.65::double, 4) as y0, round((above + 1) * 12.65::double, 4) as y1 from c""")
 def table_redraw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of eight orders as a table of two columns over pages: eight rows fit the first, seventeen each later one."""
-    k = F.floor(F.col("l_orderkey") / 8)
-    w = Window.partitionBy(k).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select(k.alias("t"), F.row_number().over(w).alias("row"), F.col("l_partkey").cast("string").alias("a"), F.col("l_returnflag").alias("b"))
-    rows = lines.select("t", "row", F.lit(False).alias("header"), "a", "b").unionByName(lines.select("t").distinct().select("t", F.lit(0).alias("row"), F.lit(True).alias("header"), F.lit("Part").alias("a"), F.lit("Flag").alias("b")))
-    cells = rows.select("t", "row", "header", F.posexplode(F.array("a", "b")).alias("column", "text"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span"))
+    w = Window.partitionBy("t").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumn("t", F.expr("l_orderkey div 8")).select("t", F.row_number().over(w).alias("row"), "l_partkey", "l_returnflag")
+    cell = lambda row, column, header, text: F.struct(row.alias("row"), F.lit(column).alias("column"), F.lit(header).alias("header"), text.alias("text"))
+    own = F.array(cell(F.col("row"), 0, False, F.col("l_partkey").cast("string")), cell(F.col("row"), 1, False, F.col("l_returnflag")))
+    head = F.array(cell(F.lit(0), 0, True, F.lit("Part")), cell(F.lit(0), 1, True, F.lit("Flag")))
+    cells = lines.select("t", F.inline(F.when(F.col("row") == 1, F.concat(head, own)).otherwise(own))).select("*", F.lit(1).alias("row_span"), F.lit(1).alias("column_span"))
     out = C.redrawn_tables(cells, ["t"], 400.0, 120.0, 240.0)
     return out.select("t", "part", "row", "column", "header", "text", F.round("y0", 4).alias("y0"), F.round("y1", 4).alias("y1"))

@@ -355,6 +355,108 @@ def test_tables_are_redrawn_over_pages(spark):
                     assert apart or (p.row, p.column) == (q.row, q.column)
 
 
+def test_redrawn_tables_are_those_of_a_plain_fold(spark):
+    """Random grids with spans, gaps, wide, blank and null texts, tables without a key, all in one task and in many, cut by batches anywhere."""
+    import math
+    import random
+    from fractions import Fraction
+
+    from sparkfolio.operators import tables as B
+    from sparkfolio.operators.composites import redrawn_tables
+
+    rnd, rows = random.Random(11), []
+    for t in range(300):
+        high, wide, taken, heads = rnd.randint(1, 60), rnd.randint(1, 5), set(), rnd.choice([0, 1, 2, 70])
+        for r in range(high):
+            for c in range(wide):
+                if (r, c) in taken or rnd.random() < 0.05:
+                    continue
+                down, across = min(high - r, rnd.choice([1] * 8 + [2, 3, 7])), min(wide - c, rnd.choice([1] * 6 + [2, 3]))
+                while any((r + i, c + j) in taken for i in range(down) for j in range(across)):
+                    down, across = (down, across - 1) if across > 1 else (down - 1, across)
+                taken.update((r + i, c + j) for i in range(down) for j in range(across))
+                text = rnd.choice([None, "", "x", "漢字 " * rnd.randint(1, 40), "word " * rnd.randint(1, 60), "a\tb\nccc" * rnd.randint(1, 9), "1" * rnd.randint(1, 90)])
+                rows.append((t or None, r, c, down, across, text, r < heads and rnd.random() < 0.9 or None))
+
+    def plain(cells: list[tuple], width: float, first: float, more: float) -> list[tuple]:
+        asked = {c: (0, 0) for x in cells for c in range(x[2], x[2] + x[4])}
+        for x in cells:
+            if x[4] == 1:
+                text = x[5] or ""
+                asked[x[2]] = tuple(map(max, asked[x[2]], (max(map(len, text.split()), default=0), len(text))))
+        demand = [min(190.0, max(token * 4.5 + 5, math.sqrt(chars * 4.5 * 72) * min(3.0, max(1.0, chars / 80)), 34.0)) for _, (token, chars) in sorted(asked.items())]
+        cents = [math.floor(d / sum(demand) * width * 100) for d in demand[:-1]]
+        cents.append(round(width * 100) - sum(cents))
+        left = {c: sum(cents[:i]) for i, c in enumerate(sorted(asked))}
+        right = {c: left[c] + w for c, w in zip(sorted(asked), cents)}
+        made = []
+        for _, r, c, down, across, text, header in sorted(cells, key=lambda x: x[1:4]):
+            x0, x1, text_width = left[c], right[c + across - 1], Fraction(9, 2) * sum(2 if ch in "漢字" else 1 for ch in text or "")
+            lines = max(1, math.ceil(text_width * 100 / max(x1 - x0 - 500, 900)))
+            made.append({"row": r, "column": c, "row_span": down, "header": header, "text": text, "x0": x0 / 100, "x1": x1 / 100, "need": lines * 11.25 + 1.4})
+        sizes, reach = B.heights_of(made, 11.25), -1
+        groups: list[list[int]] = []
+        for r in sorted({i for c in made for i in range(c["row"], c["row"] + c["row_span"])}):
+            groups = [*groups[:-1], [*groups[-1], r]] if r <= reach else [*groups, [r]]
+            reach = max([reach, *(c["row"] + c["row_span"] - 1 for c in made if c["row"] <= r)])
+        head = max((c["row"] for c in made if c["header"]), default=-1)
+        top, body = [r for g in groups if g[-1] <= head for r in g], [g for g in groups if g[-1] > head]
+        tall = lambda rs: sum(sizes.get(r, 11.25) for r in rs)
+        dealt, out = B.pages([tall(g) for g in body], first - tall(top), more - tall(top)), []
+        for part in sorted(set(dealt)) or [0]:
+            y, at = 0.0, {}
+            for r in [*top, *(r for g, p in zip(body, dealt) if p == part for r in g)]:
+                at[r] = y, y + sizes.get(r, 11.25)
+                y = at[r][1]
+            out += [(part, c["row"], c["column"], c["header"], c["text"], c["x0"], at[c["row"]][0], c["x1"], at[c["row"] + c["row_span"] - 1][1]) for c in made if c["row"] in at]
+        return out
+
+    by: dict = {}
+    for x in rows:
+        by.setdefault(x[0], []).append(x)
+    cells = spark.createDataFrame([*rows, (1, None, None, None, None, None, None)], "t int, row int, column int, row_span int, column_span int, text string, header boolean")
+    rounded = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for parts, batch, sizes in (("1", "10000", (400.0, 120.0, 240.0)), ("5", "777", (90.0, 500.0, 30.0)), ("2", "1", (333.33, 20.0, 700.0))):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = sorted((rounded(r) for r in redrawn_tables(cells, ["t"], *sizes).collect()), key=repr)
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        want = sorted((rounded((t, *r)) for t, own in by.items() for r in plain(own, *sizes)), key=repr)
+        assert got == want, next(((x, y) for x, y in zip(got, want) if x != y), (len(got), len(want)))
+    assert redrawn_tables(cells.where("false"), ["t"], 400.0, 120.0, 240.0).collect() == []
+
+
+def test_many_tables_are_redrawn_in_little_memory(tmp_path):
+    """12,000 tables of 80 cells in one task: its Python worker's peak, in a session of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from pyspark.sql import SparkSession, functions as F
+from sparkfolio.operators.composites import redrawn_tables
+conf = {"spark.sql.shuffle.partitions": "1", "spark.ui.enabled": "false", "spark.driver.memory": "3g"}
+spark = SparkSession.builder.master("local[1]").config(map=conf).getOrCreate()
+n = spark.range(12000 * 40).select(F.floor(F.col("id") / 40).alias("t"), (F.col("id") % 40).cast("int").alias("row"), F.array(F.lit("cell"), F.col("id").cast("string")).alias("a"))
+cells = n.select("t", "row", F.posexplode("a").alias("column", "text"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span"), (F.col("row") == 0).alias("header"))
+out = redrawn_tables(cells, ["t"], 400.0, 120.0, 240.0)
+assert out.where("not header").count() == 12000 * 78
+out.write.format("noop").mode("overwrite").save()
+def peak(batches):  # the worker is used again
+    for b in batches:
+        yield b.from_pylist([{"mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024}])
+print("MB", max(r.mb for r in spark.range(0, 8, 1, 8).mapInArrow(peak, "mb long").collect()))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": root}).stdout
+    assert int(said.split("MB ")[1]) < 500, said
+
+
 def test_the_source_layer_says_why(spark):
     from sparkfolio.operators.composites import source_layer
 
